@@ -38,11 +38,14 @@ class Rule:
     octaves: bool = False
 
 
-RULES = (Rule("symbols", False, 15), Rule("capitals", False, 30), Rule("distinct_words", True, 60), Rule("words", True, 1, True), Rule("word_length", False, 20))
+RULES = (Rule("symbols", False, 15), Rule("capitals", False, 30), Rule("variety", True, 60), Rule("words", True, 2, True), Rule("word_length", False, 20))
 
 
 def metrics(text: Column) -> dict[str, Column]:
-    """Integer measures of a text. Counts per thousand round down; a null or blank text has words 0."""
+    """Integer measures of a text, most in thousandths; a null or blank text has words 0.
+
+    ``variety`` is log(distinct words) / log(words), which hardly depends on the length of a text.
+    """
     words = F.filter(F.split(F.lower(text), "[ \t\n\r]+"), lambda w: w != "")
     chars = F.length(text) + SMOOTH
     n = F.size(words)
@@ -53,7 +56,7 @@ def metrics(text: Column) -> dict[str, Column]:
         "words": n.cast("long"),
         "symbols": per(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), chars).cast("long"),
         "capitals": per(F.length(text) - F.length(F.translate(text, CAPITALS, "")), chars).cast("long"),
-        "distinct_words": per(F.size(F.array_distinct(words)), none).cast("long"),
+        "variety": F.when(n < 2, F.lit(1000)).otherwise(F.floor(F.log(F.size(F.array_distinct(words)).cast("double")) / F.log(n.cast("double")) * 1000.0 + 0.5)).cast("long"),
         "word_length": ((ink.cast("long") * 10 - (ink.cast("long") * 10) % none.cast("long")) / none.cast("long")).cast("long"),
     }
 
@@ -142,7 +145,7 @@ m0 as (select doc_id, lang, source, text, list_filter(string_split_regex(lower(t
 m as (select doc_id, lang, source, len(ws)::bigint as words,
   ((length(text) - length(translate(text, '{q(SYMBOLS)}', ''))) * 1000) // (length(text) + {SMOOTH}) as symbols,
   ((length(text) - length(translate(text, '{CAPITALS}', ''))) * 1000) // (length(text) + {SMOOTH}) as capitals,
-  (len(list_distinct(ws)) * 1000) // greatest(len(ws), 1) as distinct_words,
+  case when len(ws) < 2 then 1000 else floor(ln(len(list_distinct(ws))::double) / ln(len(ws)::double) * 1000.0 + 0.5) end::bigint as variety,
   (length(translate(text, {ws}, '')) * 10) // greatest(len(ws), 1) as word_length
   from m0 where len(ws) > 0)"""
     parts = " union all ".join(f"select lang, source, '{r.metric}' as metric, {r.metric} as v from m" for r in RULES)
