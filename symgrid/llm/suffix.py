@@ -2,8 +2,9 @@
 
 Equal passages must meet in one shard wherever their documents lie. Every document is winnowed:
 of the hashes of its 12-word grams the least of every 39 consecutive ones is an anchor, so any two
-copies of a passage of 50 words have an anchor in common. Anchors that a single document has are
-dropped; around the others, all stretches of 50 words that hold the anchor go to the anchor's shard.
+copies of a passage of 50 words have an anchor in common, and with it at least 19 words to its left
+or to its right. Anchors that share neither with another document are dropped; around the others, all
+stretches of 50 words that hold the anchor go to the anchor's shard.
 A shard's text is sorted by external induced sorting (``esais``), its common prefixes of 50 words or
 more give the repeats, and what the shards found in a document is merged.
 """
@@ -33,34 +34,42 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh32_intdigest, _WORD.findall(text.lower())), np.uint32)
 
 
-def anchors(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the anchors. Every ``min_words`` consecutive words hold one whole."""
-    n, span = len(words) - gram + 1, min_words - gram + 1
-    if len(words) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(gram):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n].astype(np.uint64)
+def _grams(words: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
+    """64-bit hashes of the ``n`` words from each place of ``at``, or from every place."""
+    h = np.zeros(len(words) - n + 1 if at is None else len(at), np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + (words[k : k + len(h)] if at is None else words[at + k]).astype(np.uint64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    low, width = h, 1
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[: n - span + 1], low[span - width : span - width + n - span + 1])
-    # the leftmost place of each window's least hash: places that hold the least of a window that covers them
-    order = np.lexsort((np.arange(n), h))
-    hs = h[order]
-    at = np.searchsorted(hs, low)
-    run = np.flatnonzero(hs[np.minimum(at + 1, n - 1)] == low) if n > 1 else np.zeros(0, np.int64)
-    place = order[at]
-    begin = np.arange(len(low))
-    far = run[place[run] < begin[run]]  # the hash occurs before the window, too: step on to the first within it
-    for i in far.tolist():
-        s, e = np.searchsorted(hs, low[i]), np.searchsorted(hs, low[i], "right")
-        place[i] = order[s + np.searchsorted(order[s:e], i)]
-    place = np.unique(place)
+    return h ^ h >> np.uint64(32)
+
+
+_PLACE = np.uint64((1 << 24) - 1)
+
+
+def anchors(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Hashes and places of the anchors, and hashes of what lies to their left and right.
+
+    Every ``min_words`` consecutive words hold an anchor whole. Of such a stretch at least half of
+    what is not the anchor is on one side of it; the other hashes are those of the anchor with that
+    much to its left and right, 0 where the text ends before.
+    """
+    n, span = len(words) - gram + 1, min_words - gram + 1
+    if len(words) < min_words:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    h = _grams(words, None, gram)
+    found, step = [], 1 << 22
+    for s in range(0, n - span + 1, step):
+        own = h[s : s + step + span - 1]
+        low, width = own & ~_PLACE | np.arange(len(own), dtype=np.uint64), 1
+        size = len(own) - span + 1
+        while width * 2 <= span:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[:size], low[span - width : span - width + size])
+        found.append((np.unique(low & _PLACE) + np.uint64(s)).astype(np.int64))
+    place = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
     # a run of one word has one gram throughout; one anchor for each window is enough there
     if len(place) > 2:
         same = (np.diff(place) == 1) & (h[place[1:]] == h[place[:-1]])
@@ -68,7 +77,13 @@ def anchors(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) ->
         first = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
         last = np.append(~same, True)
         place = place[((np.arange(len(place)) - first) % span == 0) | last]
-    return h[place].view(np.int64), place
+    half = (min_words - gram + 1) // 2
+    left, right = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+    on = place >= half
+    left[on] = _grams(words, place[on] - half, half + gram) | np.uint64(1)
+    on = place + gram + half <= len(words)
+    right[on] = _grams(words, place[on], half + gram) | np.uint64(1)
+    return h[place].view(np.int64), place, left.view(np.int64), right.view(np.int64)
 
 
 def _anchor_batches(min_words: int):
@@ -76,36 +91,47 @@ def _anchor_batches(min_words: int):
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                rows, hs, ps, ns = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+                rows, ns = [], []
+                found = [anchors(np.zeros(0, np.uint32))]
                 for i, t in enumerate(part.column(2).to_pylist()):
                     w = word_hashes(t)
-                    h, p = anchors(w, min_words)
-                    rows += [i] * len(h)
-                    ns += [len(w)] * len(h)
-                    hs.append(h)
-                    ps.append(p)
+                    found.append(anchors(w, min_words))
+                    rows += [i] * len(found[-1][0])
+                    ns += [len(w)] * len(found[-1][0])
                 take = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(ps).astype(np.int32)), pa.array(ns, pa.int32())], ["hash", "id", "xk", "place", "n"])
+                h, p, x, y = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), pa.array(ns, pa.int32()), pa.array(x), pa.array(y)], ["hash", "id", "xk", "place", "n", "l", "r"])
 
     return run
 
 
+def _side_shared(h: np.ndarray, side: np.ndarray, xk: np.ndarray) -> np.ndarray:
+    """Rows whose gram on one side is in more than one text."""
+    order = np.lexsort((side, h))
+    hs, ss, xs = h[order], side[order], xk[order]
+    begin = np.append(0, np.flatnonzero((hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])) + 1)
+    size = np.diff(np.append(begin, len(h)))
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(np.minimum.reduceat(xs, begin) != np.maximum.reduceat(xs, begin), size)
+    return out & (side != 0)
+
+
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash; those stay whose hash more than one text has."""
+    """Rows sorted by hash; those stay that share the gram on one side at least with another text."""
     rest: list[np.ndarray] | None = None
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, xk, place = cols
-        begin = np.append(0, np.flatnonzero(np.diff(h)) + 1)
-        size = np.diff(np.append(begin, len(h)))
-        many = np.repeat(np.minimum.reduceat(xk, begin) != np.maximum.reduceat(xk, begin), size)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(xk[many]), pa.array(place[many])], ["hash", "xk", "place"])
+        h, xk, place, x, y = cols
+        left, right = _side_shared(h, x, xk), _side_shared(h, y, xk)
+        on = left | right
+        if on.any():
+            sides = left.astype(np.int32) + 2 * right.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(xk[on]), pa.array(place[on]), pa.array(sides[on])], ["hash", "xk", "place", "sides"])
 
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            cols = [np.concatenate(z) for z in zip(rest, cols, strict=True)]
         if not len(cols[0]):
             continue
         last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -126,17 +152,21 @@ def _segment_batches(shards: int, min_words: int):
                 shard, node, start, ends, words = [], [], [], [0], [np.zeros(0, np.uint32)]
                 for i in range(part.num_rows):
                     w = word_hashes(part.column(1)[i].as_py())
-                    h, p = (part.column(k)[i].values.to_numpy() for k in (2, 3))
+                    h, p, sides = (part.column(k)[i].values.to_numpy() for k in (2, 3, 4))
                     own = h % shards
                     order = np.lexsort((p, own))
-                    own, p = own[order], p[order].astype(np.int64)
-                    a, z = np.maximum(p - (min_words - GRAM), 0), np.minimum(p + min_words, len(w))
-                    new = np.append(True, (own[1:] != own[:-1]) | (a[1:] > z[:-1]))
+                    own, p, sides = own[order], p[order].astype(np.int64), sides[order]
+                    half = (min_words - GRAM + 1) // 2
+                    reach = lambda on: np.where(on, min_words - GRAM, half - 1)
+                    a, z = np.maximum(p - reach(sides & 1), 0), np.minimum(p + GRAM + reach(sides & 2), len(w))
+                    top = np.maximum.accumulate(z + own * (1 << 40)) - own * (1 << 40)
+                    new = np.append(True, (own[1:] != own[:-1]) | (a[1:] > top[:-1]))
                     at = np.flatnonzero(new)
                     for x, y in zip(at, np.append(at[1:], len(p)) - 1):
                         shard.append(int(own[x]))
-                        start.append(int(a[x]))
-                        words.append(w[a[x] : z[y]])
+                        low = int(a[x : y + 1].min())
+                        start.append(low)
+                        words.append(w[low : top[y]])
                         ends.append(ends[-1] + len(words[-1]))
                     node += [i] * len(at)
                 values = pa.array(np.concatenate(words).view(np.int32))
@@ -276,12 +306,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, entries: int
     shards = shards or parts
     folder = re.sub(r"^file:/*", "/", shared_dir(spark))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("xk"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    found = written(own.mapInArrow(_anchor_batches(min_words), "hash long, id long, xk long, place int, n int"), "anchors")
+    found = written(own.mapInArrow(_anchor_batches(min_words), "hash long, id long, xk long, place int, n int, l long, r long"), "anchors")
     texts = cut(found.groupBy("xk").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.max("n").alias("n")))
-    shared = found.select("hash", "xk", "place").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_shared_batches, "hash long, xk long, place int")
-    per_text = shared.distinct().groupBy("xk").agg(F.collect_list(F.struct("hash", "place")).alias("a"))
-    wanted = per_text.join(texts, "xk").select(F.col("rep").alias("id"), "xk", F.col("a.hash").alias("hashes"), F.col("a.place").alias("places"))
-    held = own.join(wanted, ["id", "xk"]).select("id", "text", "hashes", "places")
+    shared = found.select("hash", "xk", "place", "l", "r").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_shared_batches, "hash long, xk long, place int, sides int")
+    per_text = shared.distinct().groupBy("xk").agg(F.collect_list(F.struct("hash", "place", "sides")).alias("a"))
+    wanted = per_text.join(texts, "xk").select(F.col("rep").alias("id"), "xk", F.col("a.hash").alias("hashes"), F.col("a.place").alias("places"), F.col("a.sides").alias("sides"))
+    held = own.join(wanted, ["id", "xk"]).select("id", "text", "hashes", "places", "sides")
     segments = held.mapInArrow(_segment_batches(shards, min_words), "shard int, node long, start int, words array<int>")
     placed = segments.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     spans = placed.mapInArrow(_shard_batches(folder, entries, min_words), "node long, start long, stop long, first long")
