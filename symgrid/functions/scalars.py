@@ -82,7 +82,6 @@ def short_hash(s: Column | str) -> Column:
         x = h.bitwiseXOR(code)
         return (x * F.lit(0x1B3)).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    del big
     data = F.encode(_c(s), "UTF-8")
     hexed = F.hex(data)
     codes = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("long"))

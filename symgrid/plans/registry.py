@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..codemap import from_tables
-from ..operators import calls as C
+from ..codemap import DEPS, SERVICES, from_tables
+from ..functions import scalars as S
+from ..operators import calls as C, metrics as M, search, services as V, spans
 from ..oracle import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,130 @@ def hot_most_called(m):  # noqa: ANN001, ANN201
     n = C.nodes(m)
     d = C.degrees(n, C.call_edges(m)).join(n, "node_id").join(m.files.select("file_id", "path"), "file_id").where("callers > 0")
     return d.select("node_id", "name", "path", "callers", "call_sites").orderBy(F.desc("callers"), F.desc("call_sites"), "path", "node_id").limit(25)
+
+
+@query("select f.node_id, f.name, path, callees, call_sites from degrees d join nodes f on f.node_id = d.node_id join files x on x.file_id = f.file_id where callees > 0 order by callees desc, f.node_id limit 25")
+def hot_widest(m):  # noqa: ANN001, ANN201
+    n = C.nodes(m)
+    d = C.degrees(n, C.call_edges(m)).join(n, "node_id").join(m.files.select("file_id", "path"), "file_id").where("callees > 0")
+    return d.select("node_id", "name", "path", "callees", "call_sites").orderBy(F.desc("callees"), "node_id").limit(25)
+
+
+@query("select node_id, name, path, cx, loops, loop_depth from metrics where not is_test order by cx desc, node_id limit 25")
+def hot_most_complex(m):  # noqa: ANN001, ANN201
+    return M.metrics(m).where("not is_test").select("node_id", "name", "path", "cx", "loops", "loop_depth").orderBy(F.desc("cx"), "node_id").limit(25)
+
+
+@query("""select language, count(*)::bigint as files, coalesce(sum(n), 0)::bigint as funcs, sum(lines)::bigint as lines, round(case when coalesce(sum(n), 0) = 0 then 0 else sum(s)::double / sum(n)::double end, 6) as avg_complexity
+from files x left join (select file_id, count(*) as n, sum(cx) as s from metrics group by 1) f on f.file_id = x.file_id group by 1""")
+def language_totals(m):  # noqa: ANN001, ANN201
+    return M.language_totals(m)
+
+
+_BAND = "case " + " ".join(f"when cx <= {top} then {band}" for top, band in S.BANDS) + " else 10 end::int"
+
+
+@query(f"select node_id, name, path, cx, {_BAND} as band, case params when 0 then 'niladic' when 1 then 'monadic' when 2 then 'dyadic' else 'variadic' end as arity, is_test from metrics order by cx desc, node_id limit {M.MOST_COMPLEX}")
+def complexity_table(m):  # noqa: ANN001, ANN201
+    return M.complexity_table(m)
+
+
+_BALANCE = """select node_id, key as release_name, count(*) filter (acquire and not guarded) as acquires, count(*) filter (not acquire) as releases, count(*) filter (acquire and guarded) as guarded, min(line) filter (acquire and not guarded) as line,
+  coalesce(string_agg(distinct pair, '/' order by pair) filter (acquire and not guarded), '') as names
+from (select r.*, case when acquire then release_name else r.name end as key from resources r join funcs f on f.node_id = r.node_id join files x on x.file_id = f.file_id left join pairs p on p.language = x.language and p.acquire_name = r.pair and r.acquire) where key is not null group by 1, 2"""
+
+
+@query(_BALANCE)
+def resource_balance(m):  # noqa: ANN001, ANN201
+    return M.resource_balance(m)
+
+
+_FOUND = """select rule, case when rule in ('deep-loop-nest', 'leak-risk', 'high-complexity') then 'warn' else 'info' end as severity, node_id, path, line, value::bigint as value from (
+  select 'inline-candidate' as rule, node_id, path, line, callers as value from fn where body_lines <= 5 and loops = 0 and branches <= 1 and not recursive and callers >= 3
+  union all select 'deep-loop-nest', node_id, path, (select min(line) from loops l where l.node_id = fn.node_id and depth >= 3), loop_depth from fn where loop_depth >= 3
+  union all select 'high-complexity', node_id, path, line, cx from fn where cx >= 15
+  union all select 'long-function', node_id, path, line, body_lines from fn where body_lines >= 120
+  union all select 'many-params', node_id, path, line, params from fn where params >= 6
+  union all select 'no-callers', node_id, path, line, 0 from fn where callers = 0 and name <> 'main' and name not in (select name from calls)
+  union all select 'unroll-candidate', l.node_id, path, l.line, trip from loops l join fn on fn.node_id = l.node_id where trip between 1 and 8
+  union all select 'leak-risk', b.node_id, path, b.line, acquires - releases from balance b join fn on fn.node_id = b.node_id where acquires > releases)"""
+_FN = "select m.*, callers from metrics m join degrees d on d.node_id = m.node_id where not is_test"
+
+
+@query("select * from found", found=_FOUND, fn=_FN, balance=_BALANCE)
+def lint_findings(m):  # noqa: ANN001, ANN201
+    return M.all_lints(m, C.degrees(C.nodes(m), C.call_edges(m)))
+
+
+@query(f"select * from found order by severity desc, rule, path, line, node_id, value limit {M.MOST_LINTS}", found=_FOUND, fn=_FN, balance=_BALANCE)
+def lint_report(m):  # noqa: ANN001, ANN201
+    return M.lints(m, C.degrees(C.nodes(m), C.call_edges(m)))
+
+
+@query("select file_id, path, service from members")
+def service_members(m):  # noqa: ANN001, ANN201
+    return V.members(m, SERVICES)
+
+
+@query("select service, count(*) as files, coalesce(sum(n), 0)::bigint as funcs from files x left join members s on s.file_id = x.file_id left join (select file_id, count(*) as n from funcs group by 1) f on f.file_id = x.file_id group by 1")
+def service_rollup(m):  # noqa: ANN001, ANN201
+    return V.service_rollup(m, V.members(m, SERVICES))
+
+
+@query("""select coalesce(s, d.src) as src, coalesce(t, d.dst) as dst, coalesce(n, 0)::bigint as edges, coalesce(k, 0)::bigint as sites, s is not null as detected, d.src is not null as declared
+from (select a.service as s, b.service as t, count(*) as n, sum(sites) as k from edges e join nodes x on x.node_id = e.src join nodes y on y.node_id = e.dst join members a on a.file_id = x.file_id join members b on b.file_id = y.file_id where a.service <> b.service group by 1, 2) f
+full join deps d on d.src = s and d.dst = t""")
+def service_edges(m):  # noqa: ANN001, ANN201
+    return V.service_edges(C.nodes(m), C.call_edges(m), V.members(m, SERVICES), DEPS)
+
+
+_ENDS = "select boundary, lower(trim(key)) as key, service, count(*) as n, min(transport) as transport from annotations a join members s on s.file_id = a.file_id group by 1, 2, 3"
+
+
+@query("select c.key, c.service as src, s.service as dst, case when s.service is null then c.transport when c.transport <> 'unspecified' then c.transport else s.transport end as transport, c.n as calls, coalesce(s.n, 0)::bigint as handlers from ends c left join ends s on s.boundary = 'serves' and s.key = c.key and s.service <> c.service where c.boundary = 'calls'", ends=_ENDS)
+def boundary_crossings(m):  # noqa: ANN001, ANN201
+    return V.crossings(m, V.members(m, SERVICES))
+
+
+_CHANGED = "select distinct f.node_id, f.name, x.path from funcs f join files x on x.file_id = f.file_id join hunks h on h.path = x.path and h.start <= f.end_line and f.start_line <= h.stop"
+
+
+@query(_CHANGED)
+def changed_functions(m):  # noqa: ANN001, ANN201
+    return spans.changed_functions(m, m.tables["hunks"])
+
+
+@query("""select n.file_id, n.line, n.key, node_id from (select distinct file_id, line, key from annotations) n left join (select file_id, line, key, node_id from (select a.file_id, a.line, a.key, f.node_id,
+  row_number() over (partition by a.file_id, a.line, a.key order by case when a.line between start_line and end_line then 0 else 1 end, case when a.line between start_line and end_line then -start_line else start_line end, -f.node_id) as rn
+  from (select distinct file_id, line, key from annotations) a join funcs f on f.file_id = a.file_id and (a.line between start_line and end_line or start_line - a.line between 1 and 10)) where rn = 1) b on b.file_id = n.file_id and b.line = n.line and b.key = n.key""")
+def bind_annotations(m):  # noqa: ANN001, ANN201
+    return spans.bind_annotations(m)
+
+
+@query("select node_id, min(distance)::int as distance from reach group by 1", changed=_CHANGED, reach="select node_id, 0 as distance from changed union select e.src, r.distance + 1 from reach r join edges e on e.dst = r.node_id where r.distance < 8")
+def callers_of_changes(m):  # noqa: ANN001, ANN201
+    return spans.callers_within(C.call_edges(m), spans.changed_functions(m, m.tables["hunks"]))
+
+
+SQL["callers_of_changes"] = SQL["callers_of_changes"].replace("with ", "with recursive ", 1).replace("reach as materialized", "reach as")
+
+_HITS = "select 'func' as kind, file_id, line, name from funcs where contains(lower(name), 'f1') union all select 'const', file_id, line, name from consts where contains(lower(name), 'f1') union all select 'type', file_id, line, name from types where contains(lower(name), 'f1') union all select 'note', file_id, line, text from notes where contains(lower(text), 'f1')"
+
+
+@query(f"select *, (select count(*) from hits) as total from hits order by kind, file_id, line, name limit {search.MOST_HITS}", hits=_HITS)
+def find_symbol(m):  # noqa: ANN001, ANN201
+    return search.find(m, "F1")
+
+
+@query("select file_id, line, text from notes where regexp_matches(text, '(?i)(?:^|\\s)(?:BUG|FIXME|HACK|NOTE|SAFETY|TODO|XXX)(?:\\([^)]*\\))?:') and contains(upper(text), 'TODO')")
+def notes_todo(m):  # noqa: ANN001, ANN201
+    return search.notes_by_marker(m, "todo")
+
+
+PROBES = ("f12", "F77x", "tst_f3", "nothing_like_it")
+
+
+@query(f"""select probe, name, score from (select probe, name, score, row_number() over (partition by probe order by score, name) as rn from (select probe, name, (case when q = n then 0 when contains(n, q) or contains(q, n) then 1000 + abs(length(q) - length(n)) when levenshtein(q, n) <= greatest(2, length(q) // 3) then 2000 + levenshtein(q, n) end)::bigint as score
+  from (select distinct name, lower(name) as n from funcs) cross join (select unnest({list(PROBES)}) as probe, lower(unnest({list(PROBES)})) as q)) where score is not null) where rn <= {search.NEAREST}""")
+def nearest_names(m):  # noqa: ANN001, ANN201
+    return search.nearest_names(m.funcs, m.spark.createDataFrame([(p,) for p in PROBES], "probe string"))
