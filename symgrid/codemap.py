@@ -15,6 +15,8 @@ class CodeMap:
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    fixed: set[str] = field(default_factory=set)
+    derive_refs: bool = False
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
@@ -23,6 +25,14 @@ class CodeMap:
             self.tables[name] = self.spark.createDataFrame([], SCHEMAS[name])
         return self.tables[name]
 
+    def fix(self, *names: str) -> None:
+        """Checkpoints tables that several analyses read, so that each is made once."""
+        from .plans.storage import cut
+
+        for name in set(names) - self.fixed:
+            self.tables[name] = cut(getattr(self, name))
+            self.fixed.add(name)
+
 
 #: SQL that both engines run: the driver's tables read as a code map. Suppliers are files, parts are
 #: functions, line items are calls, orders are imports, events are annotations.
@@ -86,6 +96,6 @@ def from_tables(spark: SparkSession, sf_dir: str) -> CodeMap:
     out["funcs"] = out["funcs"].withColumns({"comment": F.lit(None).cast("string"), "col": F.lit(1), "nodes": F.lit(0), "param_types": F.array().cast("array<string>")})
     from .operators.calls import same_file_refs
 
-    m = CodeMap(spark, out)
-    out["refs"] = same_file_refs(m)
+    m = CodeMap(spark, out, derive_refs=True)
+    m.tables["refs"] = same_file_refs(m)
     return m

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..codemap import CodeMap
+from ..plans.storage import cut
 from ..functions.scalars import parent_dir, segments, stem
 from ..schema import TOP
 
@@ -100,8 +101,12 @@ def call_edges(m: CodeMap) -> DataFrame:
     Same-file references; else the one definition of (receiver type, name); else the one definition in
     another file that a qualifier's identifier names or the name was imported from. A receiver-typed
     edge counts once however often it is called, and not at all where the edge is there already; a
-    receiver-typed call of the function itself is no edge.
+    receiver-typed call of the function itself is no edge. The tables that are read several times are
+    checkpointed first, and so is the outcome.
     """
+    m.fix("files", "funcs", "calls", "imports")
+    m.tables["refs"] = same_file_refs(m) if m.derive_refs else m.refs
+    m.fix("refs")
     refs = m.refs.select("file_id", "caller", "call_line", "target_name")
     first = m.funcs.groupBy("file_id", "name").agg(F.min("node_id").alias("dst"))
     local = owners(m, refs, "caller", "call_line").join(first.withColumnRenamed("name", "target_name"), ["file_id", "target_name"]).select("src", "dst")
@@ -129,7 +134,7 @@ def call_edges(m: CodeMap) -> DataFrame:
     parts = local.select("src", "dst", F.lit(1).cast("long").alias("n"), F.lit(0).alias("t")).unionByName(cross.select("src", "dst", "n", F.lit(0).alias("t"))).unionByName(by_type.select("src", "dst", F.lit(0).cast("long").alias("n"), F.lit(1).alias("t")))
     # calls are met file by file in order of line; a typed call after an evident one of the same edge adds nothing
     g = parts.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
-    return g.select("src", "dst", F.when((F.col("t") == 1) & (F.col("n") == 0), 1).otherwise(F.col("n")).cast("long").alias("sites"))
+    return cut(g.select("src", "dst", F.when((F.col("t") == 1) & (F.col("n") == 0), 1).otherwise(F.col("n")).cast("long").alias("sites")))
 
 
 def degrees(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
