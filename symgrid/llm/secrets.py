@@ -25,12 +25,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Encodings within encodings are followed this deep.
 DEPTH = 3
 _CANDIDATE = re.compile(
-    r"-----BEGIN (?P<label>[A-Z0-9 ]{1,40})-----(?P<body>[A-Za-z0-9+/=\s:,\-]*?)-----END (?P=label)-----"
+    r"-----BEGIN (?P<label>[A-Z0-9 ]{1,40})-----(?P<body>[A-Za-z0-9+/=\s:,\-\\]*?)-----END (?P=label)-----"
     r"|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,})"
     r"|(?P<hub>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"
     r"|(?P<aws>AKIA[A-Z2-7]{16})(?![A-Za-z0-9])"
     r"|(?P<run>[A-Za-z0-9+/_-]{32,}={0,2})"
 )
+#: Where in an unconfirmed run another candidate can begin: those with a mark of their own, and any run after a separator.
+_MARK = re.compile(r"-----BEGIN|eyJ|gh[pousr]_|AKIA")
+_SEPARATOR = re.compile(r"[/_+-](?![/_+-])")
 _QUICK = re.compile(r"-----BEGIN |[A-Za-z0-9+/_.-]{20}")
 _NAMED = re.compile(r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|\bkey)[\w-]*[\"']?\s*(?:=|:|=>|:=)\s*[\"']?$")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -143,10 +146,11 @@ def entropy(s: str) -> float:
 def confirm(m: re.Match, depth: int = DEPTH) -> str | None:
     """The kind of secret that a candidate is, or None."""
     if m["label"]:
-        data = _unbase64("\n".join(x for x in m["body"].splitlines() if ":" not in x))
+        body = re.sub(r"\\+[nr]", "\n", m["body"]).replace("\\/", "/")  # line ends and slashes as in JSON
+        data = _unbase64("\n".join(x for x in body.splitlines() if ":" not in x))
         if data is None or "PRIVATE KEY" not in m["label"]:
             return None
-        if "DEK-Info:" in m["body"]:
+        if "DEK-Info:" in body:
             return "encrypted-pem-key" if len(data) % 8 == 0 and len(data) >= 48 else None
         return openssh_key(data) or der_key(data)
     if m["jwt"]:
@@ -187,10 +191,39 @@ def scan(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]:
         kind = confirm(m, depth)
         if kind:
             out.append((m.start(), m.end(), kind))
+        elif m["run"] and (found := _inside(m, depth)):
+            out.append(found)
+            at = found[1]
+            continue
         at = m.end() if kind or not m["label"] else m.start() + 11
     return out
 
 
+def _plausible(head: str) -> bool:
+    """Whether base64 that begins like this can be a key or text."""
+    data = _unbase64(head) or b""
+    return data[:1] == b"0" and data[1:2] > b"\x16" or data.isascii()
+
+
+def _inside(m: re.Match, depth: int) -> tuple[int, int, str] | None:
+    """The first confirmed secret that begins inside an unconfirmed run."""
+    text, begin, end = m.string, m.start(), m.end()
+    places = []
+    for x in _MARK.finditer(text, begin + 1, end):
+        # a token's header reaches to the dot, so nothing else of the run can be one
+        if x[0] != "eyJ" or text.startswith(".eyJ", end) and "/" not in (rest := text[x.start() : end]) and "+" not in rest:
+            places.append(x.start())
+    for x in _SEPARATOR.finditer(text, begin, end - 32):
+        p = x.end()
+        if _plausible(text[p : p + 24]) or text.startswith("30", p):
+            places.append(p)
+    for p in sorted(set(places)):
+        c = _CANDIDATE.match(text, p)
+        if c and (kind := confirm(c, depth)):
+            return p, c.end(), kind
+    return None
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kind, start_char, end_char, digest``: a row for each confirmed secret.
 

@@ -117,3 +117,27 @@ def test_edge_cases(spark):
     twice = documents(spark, [(None, CONFIRMED["named-hex-secret"])] * 2)
     assert [r["doc_id"] for r in X.find_secrets(twice).collect()] == [None, None]
     assert X.redact_secrets(documents(spark, [])).count() == 0
+
+
+def test_secrets_inside_runs():
+    jwt, key = CONFIRMED["signed-token"], "AKIA" + "Q3ZT7XW2LB5MKD4R"
+    escaped = json.dumps({"private_key": pem("PRIVATE KEY", PKCS8)})
+    der = base64.b64encode(PKCS8).decode()
+    cases = [
+        (f"https://{hub()}@github.com/a/b.git", "access-token", hub()), (f"https://example.com/verify/{jwt}", "signed-token", jwt), (f"s3/backup/prod-account/keys/{key}", "access-key-id", key),
+        (escaped, "pkcs8-key", escaped[17:-2]), (f"files/of/{der}", "pkcs8-key", der), (f"files/of/{'x' * 40}{CONFIRMED['rsa-key']}", "rsa-key", CONFIRMED["rsa-key"]),
+    ]
+    for text, kind, secret in cases:
+        assert [(k, text[s:e]) for s, e, k in X.scan(text)] == [(kind, secret)], text
+    both = f"https://{hub()}/{key}"
+    assert [k for _, _, k in X.scan(both)] == ["access-token", "access-key-id"]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    rng = random.Random(8)
+    began = time.time()
+    assert X.scan(base64.b64encode(rng.randbytes(400_000)).decode()) == []
+    assert X.scan("some/path-of_words" * 20_000) == []
+    assert time.time() - began < 20
