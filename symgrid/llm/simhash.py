@@ -25,9 +25,8 @@ from .common import components, cut, fresh
 SEGMENTS = 7
 BITS = 23 * SEGMENTS
 MAX_DISTANCE = 28
-#: Two documents' token counts may differ by this factor (natural logarithm).
-LENGTH_SLACK = 0.1
-_WIDTH = 0.2
+#: Token counts set no limit (natural logarithm of the factor they may differ by); brute force in tests reads it.
+LENGTH_SLACK = np.inf
 _POLY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _WORD = re.compile(r"\w+")
 
@@ -128,32 +127,31 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 4096):
             part = b.slice(at, 4096)
             words = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(1, 4)], axis=1)
-            size = np.log(part.column(4).to_numpy(zero_copy_only=False))
             segs = segments(words)
             rows, keys = [], []
-            low, high = np.floor(size / _WIDTH).astype(np.int64), np.floor((size + LENGTH_SLACK) / _WIDTH).astype(np.int64)
             for s in range(SEGMENTS):
                 k, new = golay_keys(segs[:, s])
                 r, c = np.nonzero(new)
                 key = k[r, c].astype(np.int64) << 3 | s
-                rows += [r, r[high[r] != low[r]]]
-                keys += [key | low[r] << 15, (key | high[r] << 15)[high[r] != low[r]]]
+                rows.append(r)
+                keys.append(key)
             take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), *(part.column(k).take(take) for k in range(5))], ["key", "node", "f0", "f1", "f2", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), *(part.column(k).take(take) for k in range(4))], ["key", "node", "f0", "f1", "f2"])
 
 
-def _close(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, limit: int) -> np.ndarray:
-    return (np.bitwise_count(x ^ y).sum(-1) <= limit) & (np.abs(nx - ny) <= LENGTH_SLACK)
+def _close(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1) <= limit
 
 
-def _star(node: np.ndarray, words: np.ndarray, size: np.ndarray, limit: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is close among the rows of one bucket, all pairs compared."""
+def _star(node: np.ndarray, words: np.ndarray, size: np.ndarray | None, limit: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is close among the rows of one bucket, all pairs compared; ``size`` sets no limit."""
+    block = max(1, min(block, (1 << 22) // max(1, len(node))))
     label, left, right = np.arange(len(node)), [], []
     for at in range(0, len(node), block):
         d = np.zeros((min(block, len(node) - at), len(node)), np.uint16)
         for k in range(words.shape[1]):
             d += np.bitwise_count(words[at : at + block, None, k] ^ words[None, :, k])
-        i, j = np.nonzero((d <= limit) & (np.abs(size[at : at + block, None] - size[None, :]) <= LENGTH_SLACK))
+        i, j = np.nonzero(d <= limit)
         i += at
         keep = j < i
         left.append(i[keep])
@@ -201,8 +199,8 @@ def _verify_batches(limit: int):
             yield from work(rest)
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, node, f0, f1, f2, n = cols
-        words, size = np.stack([f0, f1, f2], axis=1).view(np.uint64), np.log(n)
+        key, node, f0, f1, f2 = cols
+        words = np.stack([f0, f1, f2], axis=1).view(np.uint64)
         cutpoints = np.flatnonzero(np.diff(key)) + 1
         begin, end = np.concatenate([[0], cutpoints]), np.concatenate([cutpoints, [len(key)]])
         length, left, right = end - begin, [], []
@@ -213,11 +211,11 @@ def _verify_batches(limit: int):
             i = i[(key[: len(key) - step] == key[step:]) & (own <= 16)]
             if not len(i):
                 break
-            hit = i[_close(words[i], words[i + step], size[i], size[i + step], limit)]
+            hit = i[_close(words[i], words[i + step], limit)]
             left.append(node[hit + step])
             right.append(node[hit])
         for s in np.flatnonzero(length > 16):
-            u, v = _star(node[begin[s] : end[s]], words[begin[s] : end[s]], size[begin[s] : end[s]], limit)
+            u, v = _star(node[begin[s] : end[s]], words[begin[s] : end[s]], None, limit)
             left.append(u)
             right.append(v)
         if left:
@@ -239,19 +237,19 @@ def simhash_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def near_duplicate_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``id, xk, n, label`` for every row that has a token; equal ``label`` means one group.
 
-    Rows of equal fingerprint and token count are one node, so groups of thousands of exact copies
+    Rows of equal fingerprint are one node, so groups of thousands of exact copies
     cost one node; the links found in a bucket are a forest, never all pairs of it.
     """
     prints = cut(simhash_table(docs, id_col, text_col).where("n > 0"))
-    nodes = prints.groupBy("f0", "f1", "f2", "n").agg(F.min("xk").alias("node"))
-    nodes = cut(nodes.select("node", "f0", "f1", "f2", "n"))
-    keys = nodes.mapInArrow(_key_batches, "key int, node long, f0 long, f1 long, f2 long, n int")
+    nodes = prints.groupBy("f0", "f1", "f2").agg(F.min("xk").alias("node"))
+    nodes = cut(nodes.select("node", "f0", "f1", "f2"))
+    keys = nodes.mapInArrow(_key_batches, "key int, node long, f0 long, f1 long, f2 long")
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     links = keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verify_batches(max_distance), "a long, b long")
     labels = components(links, "a", "b")
-    named = nodes.join(labels, "node", "left").select("f0", "f1", "f2", "n", F.coalesce("label", "node").alias("label"))
-    return prints.join(named, ["f0", "f1", "f2", "n"]).select("id", "xk", "n", "label")
+    named = nodes.join(labels, "node", "left").select("f0", "f1", "f2", F.coalesce("label", "node").alias("label"))
+    return prints.join(named, ["f0", "f1", "f2"]).select("id", "xk", "n", "label")
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:

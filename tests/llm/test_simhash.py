@@ -99,3 +99,16 @@ def test_finds_copies_of_the_table(spark):
     texts = [r["text"] for r in docs.orderBy("doc_id").select("text").collect()]
     want, got = groups(brute(texts)), groups(rows(S.near_duplicate_pairs(docs)))
     assert sum(got.get(x) == r for x, r in want.items()) >= 0.95 * len(want) and all(x in want for x in got)
+
+
+def test_length_sets_no_limit(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in (60, 200, 900):
+        base = prose(rng, n)
+        texts += [base, f"{base} {base}", f"{base}\n{base[: len(base) // 8]}"]  # repeated whole, and in part
+    f, n = S.fingerprints(texts)
+    f = f.view(np.uint64)
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(f[i] ^ f[j]).sum() <= 3 * S.SEGMENTS - 1}
+    assert any(max(n[i], n[j]) >= 1.9 * min(n[i], n[j]) for i, j in want)
+    assert groups(rows(S.near_duplicate_pairs(documents(spark, list(enumerate(texts)))))) == groups(want)
