@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import cut, fresh
 
 UNIT = 1_000_000
-#: No document is emitted more often than this in expectation.
+#: No document is emitted more often than this in expectation, unless ``max_epochs`` says otherwise.
 MAX_EPOCHS = 4
+#: Copies of a row made in one step.
+STEP = 1000
 #: Ids a block of the two-level prefix sum spans.
 BLOCK = 4096
 BROADCAST_ROWS = 20_000
@@ -25,11 +27,13 @@ def source_offset(source: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")))), 1, 12), 16, 10).cast("long") % UNIT
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text", max_epochs: float = MAX_EPOCHS) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text", max_epochs: float | None = MAX_EPOCHS) -> DataFrame:
     """``source, chars, rate``: millionths of copies expected of each document of a source.
 
     The corpus keeps its size in characters where ``max_epochs`` allows; each source gets its
-    share of ``weights`` (equal shares without them; 0 for a source they do not name).
+    share of ``weights`` (equal shares without them; 0 for a source they do not name). What the
+    limit cuts off goes to no other source; without one (None) the shares are those of the weights,
+    and only sources without a character, which can reach none, keep to MAX_EPOCHS.
     """
     size = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.coalesce(F.sum(F.length(text_col).cast("long")), F.lit(0).cast("long")).alias("chars"))
     if weights is None:
@@ -38,7 +42,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
         total = float(sum(weights.values()))
         share = F.coalesce(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, v / total)])[F.coalesce("source", F.lit(""))], F.lit(0.0))
     want = F.sum("chars").over(Window.partitionBy()).cast("double") * share / F.greatest(F.col("chars"), F.lit(1)).cast("double") * float(UNIT)
-    return size.select("source", "chars", F.least(F.floor(want), F.lit(int(max_epochs * UNIT))).cast("long").alias("rate"))
+    free, limit = (F.col("chars") > 0, MAX_EPOCHS) if max_epochs is None else (F.lit(False), max_epochs)
+    return size.select("source", "chars", F.when(free, F.floor(want)).otherwise(F.least(F.floor(want), F.lit(int(limit * UNIT)))).cast("long").alias("rate"))
 
 
 def whole(x: Column) -> Column:
@@ -46,7 +51,7 @@ def whole(x: Column) -> Column:
     return F.floor((x - x % UNIT).cast("decimal(38,0)") / UNIT).cast("long")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 0, copy_col: str | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_epochs: float = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 0, copy_col: str | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_epochs: float | None = MAX_EPOCHS) -> DataFrame:
     """``docs`` with each row emitted as often as the sampling says, all columns unchanged.
 
     Rows are ordered by id (nulls first), rows of one id by a hash of the text; equal rows are
@@ -75,7 +80,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 0,
     upto_c = F.col(before) + F.col(n) * F.col(r)
     copies = whole(upto_c) - whole(upto_c - F.col(r))
     out = ranked.withColumn(upto, copies).where(F.col(upto) > 0)
-    out = out.withColumn(upto, F.explode(F.sequence(F.lit(1).cast("long"), F.col(upto))))
+    # in two steps, as one row may have millions of copies
+    out = out.withColumn(before, F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1, F.lit(STEP).cast("long"))))
+    out = out.withColumn(upto, F.explode(F.sequence(F.col(before) + 1, F.least(F.col(before) + STEP, F.col(upto)))))
     extra = [F.col(upto).alias(copy_col)] if copy_col else []
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 

@@ -66,3 +66,18 @@ def test_edge_cases(spark):
     assert got.columns == docs.columns and got.count() == docs.count()  # one source of weight one
     assert M.mix(documents(spark, [])).count() == 0
     assert M.mix(documents(spark, [(1, None), (1, ""), (None, None)], source=None)).count() == 0  # no characters at all
+
+
+def test_pipeline_keeps_skewed_shares(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    sources = ["hot"] * 3600 + [f"s{k}" for k in range(19) for _ in range(21)]
+    data = [(i, prose(rng, 20), "en", s, 1) for i, s in enumerate(sources)] + [(9999, "tiny", "en", "one", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    size = Counter()
+    for r in corpus_pipeline.source_mixing(spark, df, "").collect():
+        size[r["source"]] += len(r["text"])
+    total = sum(size.values())
+    assert len(size) == 21 and all(abs(x / total - 1 / 21) < 0.01 for x in size.values())
+    assert abs(total / sum(len(d[1]) for d in data) - 1) < 0.02
