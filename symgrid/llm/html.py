@@ -21,8 +21,8 @@ from .reputation import host
 
 #: A subtree is template if it is on at least this many pages of its host ...
 MIN_PAGES = 4
-#: ... and on this share of them.
-MIN_SHARE = 0.01
+#: ... and on this share of them; 0, as a page's text must not depend on how many other pages its host has.
+MIN_SHARE = 0
 #: Templates are sent to all executors up to this many rows, else joined by shuffle with salt.
 BROADCAST_ROWS = 100_000
 SALT = 16
@@ -151,8 +151,10 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     """
     own = pages.select(host(F.col("url").cast("string")).alias("host"), F.xxhash64("url", "html").alias("page"), F.col("html").cast("string").alias("html")).where("html is not null")
     found = own.mapInArrow(_hash_batches, "host string, page long, hash long")
-    total = own.select("host", "page").groupBy("host").agg(F.count_distinct("page").alias("total"))
     n = found.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    if not min_share:
+        return n
+    total = own.select("host", "page").groupBy("host").agg(F.count_distinct("page").alias("total"))
     return n.join(total, "host").where(F.col("n") >= F.ceil(F.col("total") * min_share)).select("host", "hash", "n")
 
 

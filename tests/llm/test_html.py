@@ -60,3 +60,11 @@ def test_against_brute_force_and_the_shuffle_join(spark, monkeypatch):
     assert got == sorted(want) and any(w[3] for w in want)
     monkeypatch.setattr(H, "BROADCAST_ROWS", -1)
     assert rows(H.extract_text(df)) == got
+
+
+def test_other_pages_of_a_host_do_not_matter(spark):
+    section = [(i, f"http://big.example.com/s/{i}", page(f"own words {i}")) for i in range(5)]
+    others = [(100 + i, f"http://big.example.com/o/{i}", f"<p>unrelated {i}</p>") for i in range(700)]
+    few = rows(H.extract_text(spark.createDataFrame(section, SCHEMA)))
+    many = [r for r in rows(H.extract_text(spark.createDataFrame(section + others, SCHEMA))) if r[0] < 100]
+    assert few == many and all(r[2] == f"own words {r[0]}" for r in many)
