@@ -24,7 +24,8 @@ from .esais import Scratch, suffix_array
 
 MIN_WORDS = 50
 GRAM = 12
-#: Queue entries a task holds in memory; the arrays of a shard are in files beyond four times that.
+#: Queue entries a task holds in memory. Text, pass outputs and range minima of a shard are in files beyond
+#: four times that; its other arrays stay in memory and grow with the shard (README, known limits).
 ENTRIES = 1 << 20
 _WORD = re.compile(r"\w+")
 
