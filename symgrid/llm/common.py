@@ -52,16 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components: ``node, label`` with the least node of each component.
 
     Alternates large-star and small-star steps until the edge set no longer changes, so the
-    number of rounds grows with the logarithm of the longest path. Null ends and loops are ignored.
+    number of rounds grows with the logarithm of the longest path; there is no limit of rounds. Null ends and loops are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = cut(e)
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
