@@ -1,22 +1,28 @@
 """Byte-pair encoding and decoding with forced boundaries.
 
 A pair of bytes that never occurs inside any token of the vocabulary can never be covered by one
-token, so every such place in a text is a certain cut: what lies on either side is encoded on its
-own and the results are put one after the other. With a pre-tokenizing pattern, a cut must also be
-one that the pattern makes whatever stands around it; those are the changes of character class after
-an ASCII character other than white space. Fragments repeat often, so each worker keeps the ids of
-the short ones it has seen. The outcome equals encoding the whole text at once.
+token, so every such place is a certain cut: what lies on either side is merged on its own and the
+results are put one after the other. A text is first split into the pieces of the pre-tokenizing
+pattern, and each piece is cut at all its forced pairs; without a pattern the text is one piece.
+
+Pieces repeat often. The text is therefore split in two steps: fragments at those forced pairs that
+the pattern cuts as well whatever stands around them (a change of character class after an ASCII
+character other than white space), found for all bytes at once, then pieces and forced cuts within
+a fragment. Each worker keeps the ids of the short fragments it has seen. The outcome equals encoding
+the whole text at once.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -24,6 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _WIDE_SPACE = re.compile(b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _SPACE = b"\t\n\x0b\x0c\r "
+_NONE = 1 << 60
 
 
 def read_ranks(vocabulary: bytes) -> dict[bytes, int]:
@@ -59,15 +66,13 @@ class ForcedBoundaryBPE:
     KEEP, SHORT = 300_000, 64
 
     def __init__(self, vocabulary: bytes, pattern: str | None = PATTERN):
-        import tiktoken
-
         self.ranks = read_ranks(vocabulary)
-        self.pattern = pattern
-        self.encoding = tiktoken.Encoding("forced", pat_str=pattern or r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+        self.pattern = regex.compile(pattern) if pattern else None
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, i in self.ranks.items():
             self.tokens[i] = t
         free = forced_pairs(iter(self.ranks))
+        self.free = free.astype(np.uint8).tobytes()
         self.cuts = [(free & pattern_pairs(wide) if pattern else free).ravel() for wide in (False, True)]
         self.known: dict[bytes, bytes] = {}
 
@@ -79,11 +84,76 @@ class ForcedBoundaryBPE:
         at = (np.flatnonzero(table[b[:-1].astype(np.uint16) << 8 | b[1:]]) + 1).tolist()
         return [text[i:j] for i, j in zip([0, *at], [*at, len(text)])]
 
+    def pieces(self, fragment: bytes) -> list[bytes]:
+        """What the pattern makes of a fragment. Bytes that are not UTF-8 pass through it as characters of no class."""
+        if self.pattern is None:
+            return [fragment]
+        return [p.encode("utf-8", "surrogateescape") for p in self.pattern.findall(fragment.decode("utf-8", "surrogateescape"))]
+
+    def parts(self, piece: bytes) -> list[bytes]:
+        """A piece cut at all its forced pairs."""
+        free, begin, out = self.free, 0, []
+        for i in range(1, len(piece)):
+            if free[piece[i - 1] << 8 | piece[i]]:
+                out.append(piece[begin:i])
+                begin = i
+        out.append(piece[begin:])
+        return out
+
+    def merge(self, part: bytes) -> list[int]:
+        """Ids of a part: of all adjacent tokens the pair of least rank merges first, of equal ones the leftmost."""
+        ranks = self.ranks
+        if len(part) == 1:
+            return [ranks[part]]
+        if len(part) > 64:
+            return self._merge_long(part)
+        own = [part[i : i + 1] for i in range(len(part))]
+        rank = [ranks.get(part[i : i + 2], _NONE) for i in range(len(part) - 1)]
+        while rank:
+            least = min(rank)
+            if least == _NONE:
+                break
+            i = rank.index(least)
+            own[i : i + 2] = [own[i] + own[i + 1]]
+            del rank[i]
+            if i < len(rank):
+                rank[i] = ranks.get(own[i] + own[i + 1], _NONE)
+            if i:
+                rank[i - 1] = ranks.get(own[i - 1] + own[i], _NONE)
+        return [ranks[x] for x in own]
+
+    def _merge_long(self, part: bytes) -> list[int]:
+        """The same by a heap of pairs over a linked list."""
+        ranks, n = self.ranks, len(part)
+        end, prev = list(range(1, n + 1)), list(range(-1, n - 1))  # a token begins at i and ends at end[i]; 0 once it is merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(part[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if not j or j == n or end[j] != stop:
+                continue
+            end[i], end[j] = stop, 0
+            if stop < n:
+                prev[stop] = i
+                if (r := ranks.get(part[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (k := prev[i]) >= 0 and (r := ranks.get(part[k:stop])) is not None:
+                heapq.heappush(heap, (r, k, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[part[i : end[i]]])
+            i = end[i]
+        return out
+
     def _ids(self, fragment: bytes) -> bytes:
-        try:
-            ids = self.encoding.encode_ordinary(fragment.decode())
-        except UnicodeDecodeError:  # cut within a character, or not UTF-8 at all
-            ids = self.encoding._encode_bytes(fragment) if self.pattern else self.encoding._encode_single_piece(fragment)
+        ids: list[int] = []
+        for piece in self.pieces(fragment):
+            if self.pattern is not None and (whole := self.ranks.get(piece)) is not None:
+                ids.append(whole)
+                continue
+            for part in self.parts(piece):
+                ids += self.merge(part)
         out = np.array(ids, "<i4").tobytes()
         if len(fragment) <= self.SHORT:
             if len(self.known) >= self.KEEP:
@@ -115,8 +185,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     """``doc_id, ids, n_tokens, exact``: a row for each row; ``exact`` says that the ids decode to the text.
 
     A null text has null ids, n_tokens and exact; an empty one no ids and exact true. Null and
-    repeated ids are passed on. Other columns are ignored. The driver reads the vocabulary file (its
-    size is fixed) and broadcasts it, so executors need no copy.
+    repeated ids are passed on, and equal rows give equal rows. Very long texts are encoded whole; a
+    part without a forced pair takes n log n steps. Of pairs of equal rank the leftmost merges first.
+    Other columns are ignored; an empty table gives an empty one. The driver reads the vocabulary file
+    (its size is fixed; VOCABULARY is only the default) and broadcasts it, so executors need no copy.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -60,6 +60,30 @@ def test_without_a_pattern_every_forced_pair_cuts():
     assert all(free[f[-1], g[0]] for f, g in zip(own.fragments(b"some text, 12 of it"), own.fragments(b"some text, 12 of it")[1:]))
 
 
+@pytest.mark.parametrize("path", VOCABULARIES)
+def test_forced_pairs_cut_inside_pieces(path):
+    own = load(path)
+    inside = [p for word in ["xqzjk", "Qx9", "日本語テキスト", "#!/usr", "ħgŧ", "zzqj vvxq"] for f in own.fragments(word.encode()) for piece in own.pieces(f) for p in own.parts(piece)[1:]]
+    assert len(inside) >= 3  # cuts that the pattern does not make
+    assert all(piece == b"".join(own.parts(piece)) for piece in (b"xqzjk", b" a", b"x"))
+
+
+def test_long_parts_merge_like_short_ones():
+    own = load(VOCABULARIES[0])
+    rng = random.Random(5)
+    for n in (65, 200, 1500):
+        for letters in ("ab", "etaoinshr", "a"):
+            t = "".join(rng.choice(letters) for _ in range(n)).encode()
+            assert own.merge(t) == merges(own.ranks, t)
+    t = b"ab" * 100_000
+    assert own.decode(own.merge(t)) == t
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = documents(spark, [(1, "aaaa aaa"), (1, "aaaa aaa"), (2, "aaaa aaa")])
+    assert len({tuple(r["ids"]) for r in B.encode_documents(docs).collect()}) == 1 and B.encode_documents(docs).count() == 3
+
+
 def test_round_trip_of_the_table(spark):
     docs = spark.read.parquet(f"{DOCS}/documents.parquet")
     enc = B.encode_documents(docs)
