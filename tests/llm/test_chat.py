@@ -15,26 +15,30 @@ def fold(events):
     for conv in sorted({e[0] for e in events if e[0] is not None}):
         own = {e[1:] for e in events if e[0] == conv and e[1] is not None and e[2] is not None and e[3] in order}
         own = {(s, m, k, r, t or "") for s, m, k, r, t in own}
-        msgs, gone = {}, set()
-        dropped = {}
-        for pos, (s, m, k, r, t) in enumerate(sorted(own, key=lambda e: (e[0], order.index(e[2]), e[1], n(e[3]), e[4]))):
-            x = msgs.setdefault(m, {"at": pos, "role": None, "text": ""})
-            x["role"] = x["role"] or r
-            if k == "regenerate":
-                dropped.update({o: True for o, y in msgs.items() if y["at"] > x["at"]})
+        msgs, past, at, role, text, dropped = [], {}, 0, 1, 2, 3
+        for pos, (_, m, k, r, t) in enumerate(sorted(own, key=lambda e: (e[0], order.index(e[2]), e[1], n(e[3]), e[4]))):
+            x = next((y for y in msgs if y[4] == m), None)
             if k == "delete":
-                gone.add(m)
-            elif k == "delta":
-                x["text"] += t
-            else:
-                x["text"] = t
-        out[conv] = [(x["role"] or "user", x["text"]) for m, x in sorted(msgs.items(), key=lambda y: y[1]["at"]) if m not in gone and m not in dropped and x["text"].strip(" \n\t\r")]
+                if x is not None:
+                    msgs.remove(x)
+                past[m] = True
+                continue
+            if x is None:
+                if k == "delta" and past.get(m):
+                    continue
+                msgs.append(x := [pos, None, "", False, m])
+            x[role] = x[role] or r
+            if k == "regenerate":
+                for y in msgs:
+                    y[dropped] = y[dropped] or y[at] > x[at]
+            x[text] = x[text] + t if k == "delta" else t
+        out[conv] = [(x[role] or "user", x[text]) for x in sorted(msgs) if not x[dropped] and x[text].strip(" \n\t\r")]
     return out
 
 
 def text_of(messages):
     clean = lambda t: t.replace(C.OPEN, "<| im_start|>").replace(C.CLOSE, "<| im_end|>")
-    return "".join(f"{C.OPEN}{r}\n{clean(t)}{C.CLOSE}\n" for r, t in messages)
+    return "".join(f"{C.OPEN}{clean(r)}\n{clean(t)}{C.CLOSE}\n" for r, t in messages)
 
 
 def test_random_logs_against_the_fold(spark):
@@ -67,6 +71,16 @@ def test_whole_turns_come_back(spark):
     assert {r["conv_id"]: r["text"] for r in C.format_chats(C.events_from_turns(turns)).collect()} == {c: text_of(m) for c, m in want.items()}
 
 
+def test_deleted_messages_come_back(spark):
+    log = [(1, 1, 1, "create", "user", "a"), (1, 2, 2, "create", "user", "b"), (1, 3, 1, "delete", None, None), (1, 4, 1, "delta", None, "lost"), (1, 5, 1, "create", C.OPEN, "again"), (1, 6, 1, "delta", None, "!")]
+    assert rows(C.format_chats(spark.createDataFrame(log, LOG))) == [(1, 2, text_of([("user", "b"), (C.OPEN, "again!")]))]
+
+
+def test_the_log_has_every_kind(spark):
+    log = C.events_from_turns(spark.read.parquet(f"{DOCS}/conversations.parquet"))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"create", "delta", "edit", "regenerate", "delete"}
+
+
 def test_edge_cases(spark):
     log = [(None, 1, 1, "create", "user", "x"), (1, None, 1, "create", "user", "x"), (1, 1, None, "create", "user", "x"), (1, 1, 1, "what", "user", "x"), (2, 1, 1, "create", None, None), (3, 1, 1, "delta", None, "y" * 200_000)]
     df = spark.createDataFrame(log, LOG).selectExpr("*", "1 as pos", "2 as at", "3 as k", "4 as m")
