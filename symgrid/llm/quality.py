@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, fresh
 
-SYMBOLS = "#$%&*|<>=_~^+@/\\{}[]!"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+#: As character classes of both engines' regular expressions.
+SYMBOL_CLASS, CAPITAL_CLASS, SPACE_CLASS = r"[#$%&*|<>=_~^+@/\\{}\[\]!]", r"\p{Lu}", r"[ \t\n\r]"
 #: Added to the length where characters are counted, so that one capital in a short text means little.
 SMOOTH = 50
 #: Sketches of fewer documents are merged: source into language, language into everything.
@@ -41,24 +41,29 @@ class Rule:
 RULES = (Rule("symbols", False, 15), Rule("capitals", False, 30), Rule("variety", True, 60), Rule("words", True, 2, True), Rule("word_length", False, 20))
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """Integer measures of a text, most in thousandths; a null or blank text has words 0.
+def with_metrics(df: DataFrame, text: Column, names: dict[str, str]) -> DataFrame:
+    """``df`` with the integer measures of ``text`` under ``names``, most in thousandths; a null or blank text has words 0.
 
-    ``variety`` is log(distinct words) / log(words), which hardly depends on the length of a text.
+    ``variety`` is log(distinct words) / log(words), which hardly depends on the length of a text. Words
+    and measures are each made by a generator of one row, through which the optimizer moves no filter,
+    so that either is computed once.
     """
-    words = F.filter(F.split(F.lower(text), "[ \t\n\r]+"), lambda w: w != "")
+    (w,) = fresh(df, "_words")
+    words = F.array_remove(F.split(F.lower(text), "[ \t\n\r]+"), "")
     chars = F.length(text) + SMOOTH
-    n = F.size(words)
+    n = F.coalesce(F.size(w), F.lit(0))
     none = F.greatest(n, F.lit(1))
-    ink = F.length(F.translate(text, " \t\n\r", ""))
+    ink = F.length(text) - F.regexp_count(text, F.lit(SPACE_CLASS))
     per = lambda a, b: (a.cast("long") * 1000 - (a.cast("long") * 1000) % b.cast("long")) / b.cast("long")
-    return {
+    own = {
         "words": n.cast("long"),
-        "symbols": per(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), chars).cast("long"),
-        "capitals": per(F.length(text) - F.length(F.translate(text, CAPITALS, "")), chars).cast("long"),
-        "variety": F.when(n < 2, F.lit(1000)).otherwise(F.floor(F.log(F.size(F.array_distinct(words)).cast("double")) / F.log(n.cast("double")) * 1000.0 + 0.5)).cast("long"),
+        "symbols": per(F.regexp_count(text, F.lit(SYMBOL_CLASS)), chars).cast("long"),
+        "capitals": per(F.regexp_count(text, F.lit(CAPITAL_CLASS)), chars).cast("long"),
+        "variety": F.when(n < 2, F.lit(1000)).otherwise(F.floor(F.log(F.size(F.array_distinct(w)).cast("double")) / F.log(n.cast("double")) * 1000.0 + 0.5)).cast("long"),
         "word_length": ((ink.cast("long") * 10 - (ink.cast("long") * 10) % none.cast("long")) / none.cast("long")).cast("long"),
     }
+    split = df.select("*", F.explode(F.array(F.coalesce(words, F.array().cast("array<string>")))).alias(w))
+    return split.select("*", F.inline(F.array(F.struct(*[own[k].alias(c) for k, c in names.items()])))).drop(w)
 
 
 def sketch_value(v: Column) -> Column:
@@ -115,38 +120,39 @@ def thresholds(rows: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE)
 def quality_filter(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE, keep_metrics: bool = False) -> DataFrame:
     """The rows of ``docs`` that pass every rule, all columns unchanged.
 
-    Cutoffs follow each (lang, source); null languages and sources are groups of their own. Null,
-    empty and blank texts are rejected. Repeated rows each count and are each kept or rejected. An
-    empty table gives an empty one. ``keep_metrics`` adds the measures as ``words, symbols, ...``.
+    Cutoffs follow each (lang, source); null languages and sources are groups of their own. A quartile
+    of a few documents says little, so a group of under ``min_group`` is judged by the cutoffs of its
+    language, one of a language of under ``min_group`` by those of everything. Null, empty and blank
+    texts are rejected; very long ones are measured whole. Values that tie with a cutoff pass.
+    Repeated rows each count and are each kept or rejected. An empty table gives an empty one.
+    ``keep_metrics`` adds the measures as ``words, symbols, ...``, with underscores where ``docs`` has
+    such a column.
     """
     given = docs.select("lang", "source", F.col("text").cast("string").alias("text"))
-    rows = given.select("lang", "source", *[c.alias(k) for k, c in metrics(F.col("text")).items()])
+    rows = with_metrics(given, F.col("text"), {r.metric: r.metric for r in RULES}).drop("text")
     t = cut(thresholds(rows, min_group, fence))
     names = fresh(docs, "_l", "_s", *[f"_t_{r.metric}" for r in RULES], *[f"_m_{r.metric}" for r in RULES])
     kl, ks, tc, mc = names[0], names[1], names[2 : 2 + len(RULES)], names[2 + len(RULES) :]
     small = t.select(F.col("lang").alias(kl), F.col("source").alias(ks), *[F.col(f"t_{r.metric}").alias(c) for r, c in zip(RULES, tc, strict=True)])
     if t.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    own = metrics(F.col("text").cast("string"))
-    measured = docs.withColumns({c: own[r.metric] for r, c in zip(RULES, mc, strict=True)}).where(F.col(mc[[r.metric for r in RULES].index("words")]) > 0)
+    measured = with_metrics(docs, F.col("text").cast("string"), {r.metric: c for r, c in zip(RULES, mc, strict=True)}).where(F.col(mc[[r.metric for r in RULES].index("words")]) > 0)
     joined = measured.join(small, F.col("lang").eqNullSafe(F.col(kl)) & F.col("source").eqNullSafe(F.col(ks)))
     for r, tcol, mcol in zip(RULES, tc, mc, strict=True):
         joined = joined.where(F.col(mcol) >= F.col(tcol) if r.low else F.col(mcol) <= F.col(tcol))
-    extra = [F.col(c).alias(r.metric) for r, c in zip(RULES, mc, strict=True)] if keep_metrics else []
+    extra = [F.col(c).alias(name) for c, name in zip(mc, fresh(docs, *[r.metric for r in RULES]), strict=True)] if keep_metrics else []
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
 
 def _sql() -> str:
     """The same in DuckDB."""
-    q = lambda s: s.replace("'", "''")
-    ws = "chr(32) || chr(9) || chr(10) || chr(13)"
     m = f"""
 m0 as (select doc_id, lang, source, text, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda w: w <> '') as ws from documents),
 m as (select doc_id, lang, source, len(ws)::bigint as words,
-  ((length(text) - length(translate(text, '{q(SYMBOLS)}', ''))) * 1000) // (length(text) + {SMOOTH}) as symbols,
-  ((length(text) - length(translate(text, '{CAPITALS}', ''))) * 1000) // (length(text) + {SMOOTH}) as capitals,
+  ((length(text) - length(regexp_replace(text, '{SYMBOL_CLASS}', '', 'g'))) * 1000) // (length(text) + {SMOOTH}) as symbols,
+  ((length(text) - length(regexp_replace(text, '{CAPITAL_CLASS}', '', 'g'))) * 1000) // (length(text) + {SMOOTH}) as capitals,
   case when len(ws) < 2 then 1000 else floor(ln(len(list_distinct(ws))::double) / ln(len(ws)::double) * 1000.0 + 0.5) end::bigint as variety,
-  (length(translate(text, {ws}, '')) * 10) // greatest(len(ws), 1) as word_length
+  (length(regexp_replace(text, '{SPACE_CLASS}', '', 'g')) * 10) // greatest(len(ws), 1) as word_length
   from m0 where len(ws) > 0)"""
     parts = " union all ".join(f"select lang, source, '{r.metric}' as metric, {r.metric} as v from m" for r in RULES)
     t = []
