@@ -35,7 +35,8 @@ def test_stages_against_brute_force(spark):
     for i in left:
         size[by_id[i]["source"]] += len(text[i])
     total = sum(size.values())
-    rates = {s: min(int(float(total) * (1 / float(len(size))) / float(n) * mixing.UNIT), mixing.MAX_EPOCHS * mixing.UNIT) for s, n in size.items()}
+    weight = {s: mixing.WEIGHTS.get(s, 1.0) for s in size}
+    rates = {s: int(float(total) * (weight[s] / sum(weight.values())) / float(n) * mixing.UNIT) for s, n in size.items()}
     want = brute_mix(((i, by_id[i]["source"]) for i in left), rates)
     got = pipeline.run(spark, DOCS).collect()
     assert Counter(r["doc_id"] for r in got) == want
