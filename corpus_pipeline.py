@@ -24,8 +24,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are emitted as often as equal shares of the sources need, however small a source is."""
-    return mixing.mix(docs, max_epochs=None)
+    """Documents are emitted as often as the sources' target weights need, however small a source is."""
+    return mixing.mix(docs, mixing.WEIGHTS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
