@@ -1,4 +1,7 @@
+import random
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 from symgrid.llm import html as H
 
@@ -21,9 +24,9 @@ def test_templates_go_and_bodies_stay(spark):
 
 
 def test_tree_with_implied_ends():
-    got = {(t, "<b><p>x<p>y<div>z</div></b>"[s:e]) for t, s, e in H.elements("<b><p>x<p>y<div>z</div></b>")}
+    got = {(t, "<b><p>x<p>y<div>z</div></b>"[s:e]) for t, s, e, _ in H.elements("<b><p>x<p>y<div>z</div></b>")}
     assert got == {("p", "<p>x"), ("p", "<p>y"), ("div", "<div>z</div>"), ("b", "<b><p>x<p>y<div>z</div></b>")}
-    assert [t for t, _, _ in H.elements("<ul><li>a<li>b</ul>")] == ["li", "li", "ul"]
+    assert [t for t, *_ in H.elements("<ul><li>a<li>b</ul>")] == ["li", "li", "ul"]
 
 
 def test_broken_markup():
@@ -41,7 +44,7 @@ def test_edge_cases(spark):
     assert H.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_against_brute_force_and_the_shuffle_join(spark, monkeypatch):
+def test_against_counting_and_the_shuffle_join(spark):
     df = spark.read.parquet(f"{DOCS}/pages.parquet").unionByName(spark.createDataFrame([(1000 + i, f"https://x.example.org/{i}", page(f"z{i}")) for i in range(9)], SCHEMA))
     got = rows(H.extract_text(df))
     own = {(r["url"], r["html"]): r["url"].split("/")[2].split(":")[0].lower() for r in df.collect()}
@@ -58,8 +61,7 @@ def test_against_brute_force_and_the_shuffle_join(spark, monkeypatch):
         spans = [(s, e) for x, s, e in H.subtree_hashes(r["html"]) if x in bad[host]]
         want.append((r["page_id"], host, H.visible_text(r["html"], spans), len(spans)))
     assert got == sorted(want) and any(w[3] for w in want)
-    monkeypatch.setattr(H, "BROADCAST_ROWS", -1)
-    assert rows(H.extract_text(df)) == got
+    assert rows(H.extract_text(df, broadcast_rows=-1)) == got
 
 
 def test_other_pages_of_a_host_do_not_matter(spark):
@@ -68,3 +70,76 @@ def test_other_pages_of_a_host_do_not_matter(spark):
     few = rows(H.extract_text(spark.createDataFrame(section, SCHEMA)))
     many = [r for r in rows(H.extract_text(spark.createDataFrame(section + others, SCHEMA))) if r[0] < 100]
     assert few == many and all(r[2] == f"own words {r[0]}" for r in many)
+
+
+class Tree(HTMLParser):
+    """Elements of well-formed markup as [tag, children]; text as strings."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["", []]
+        self.open = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.open[-1][1].append([tag, []])
+        self.open.append(self.open[-1][1][-1])
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def below(node):
+    for x in node[1]:
+        if not isinstance(x, str):
+            yield x
+            yield from below(x)
+
+
+def shown(node, gone):
+    out = ""
+    for x in node[1]:
+        if isinstance(x, str):
+            out += x.replace("\n", " ")
+        elif repr(x) in gone:
+            out += "\n"
+        else:
+            out += f"\n{shown(x, gone)}\n" if x[0] in ("div", "p", "ul", "li", "nav") else shown(x, gone)
+    return out
+
+
+def test_against_another_parser(spark):
+    rng = random.Random(1)
+
+    def node(depth, words):
+        tag = rng.choice(["div", "p", "ul", "li", "nav", "span", "b"]) if depth else "span"
+        inner = "".join(node(depth - 1, words) if depth and rng.random() < 0.5 and tag not in ("p", "li") else f" {rng.choice(words)}" for _ in range(rng.randint(1, 3)))
+        return f"<{tag}>{inner}</{tag}>" if tag != "li" else f"<ul><li>{inner}</li></ul>"
+
+    pages, few = [], ["home", "news", "about"]
+    for i in range(240):
+        words = few if rng.random() < 0.7 else [f"w{rng.randrange(10**6)}" for _ in range(5)]
+        pages.append((i, f"http://h{i % 3}.example.com/{i}", "".join(node(3, words) for _ in range(rng.randint(1, 4)))))
+    on = defaultdict(set)
+    trees = {i: Tree(h).root for i, _, h in pages}
+    for i, url, h in pages:
+        for x in below(trees[i]):
+            on[url.split("/")[2], repr(x)].add((url, h))
+    want = []
+    for i, url, _ in pages:
+        gone = {x for (host, x), seen in on.items() if host == url.split("/")[2] and len(seen) >= H.MIN_PAGES}
+        lines = [" ".join(x.split()) for x in shown(trees[i], gone).split("\n")]
+        want.append((i, "\n".join(x for x in lines if x)))
+    got = sorted((r["page_id"], r["text"]) for r in H.extract_text(spark.createDataFrame(pages, SCHEMA)).collect())
+    assert got == want and any(t for _, t in got)
+
+
+def test_deep_and_unended_pages_take_linear_time():
+    for bad in ("<div>" * 30_000 + "x" + "</div>" * 30_000, "<b>" * 30_000 + "</i>" * 30_000, "<p><b>" * 20_000, "<li><ul>" * 20_000, "</p>" * 50_000, "<a href='" * 20_000):
+        began = time.time()
+        H.subtree_hashes(bad)
+        H.visible_text(bad)
+        assert time.time() - began < 5, bad[:20]
