@@ -1,3 +1,5 @@
+import math
+
 from symgrid.llm import reputation as R
 
 from .fixtures import rows
@@ -39,3 +41,38 @@ def test_edge_cases(spark):
     none = spark.createDataFrame([], LABELS)
     assert R.filter_urls(pages, none).count() == 4 and R.filter_urls(spark.createDataFrame([], PAGES), labels).count() == 0
     assert rows(R.reputations(spark.createDataFrame([], PAGES), none)) == []
+
+
+def beta_mass(a, b, x, n=20_000):
+    """Mass of a beta distribution below x, by the midpoint rule in logarithms."""
+    c = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    return sum(math.exp(c + (a - 1) * math.log((i + 0.5) * x / n) + (b - 1) * math.log1p(-(i + 0.5) * x / n)) for i in range(n)) * x / n
+
+
+def test_lower_bound_is_the_quantile(spark):
+    cases = [(2.0, 5.0), (5.0, 2.0), (30.0, 70.0), (400.0, 3.0), (1.5, 300.0), (250.0, 750.0)]
+    df = spark.createDataFrame([*cases, (0.4, 9.0), (1.0, 1.0), (3.0, 0.5)], "a double, b double")
+    got = [r[0] for r in df.select(R.beta_lower(df["a"], df["b"])).collect()]
+    for (a, b), x in zip(cases, got):
+        assert abs(beta_mass(a, b, x) - 0.05) < 0.01, (a, b, x)
+    assert got[-3:-1] == [0.0, 0.0] and 0 <= got[-1] < 1
+
+
+def test_registries_and_shared_suffixes(spark):
+    want = {"shop.example.com.br": "com.br", "www.unit.ac.uk": "ac.uk", "me.github.io": "github.io", "github.io": "io", "x.notregistry.de": "de", "a.co.com": "com"}
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    assert dict(map(tuple, df.select("h", R.suffix(df["h"])).collect())) == want
+
+
+def test_cutoff_ties_long_urls_and_names(spark):
+    long = "https://" + "a" * 100_000 + ".example.com/" + "b" * 100_000
+    pages = spark.createDataFrame(site("bad.example.com", range(60)) + site("good.example.org", range(100, 300)) + [(900, long, "x")], PAGES).selectExpr("*", "'x' as host", "'y' as lower")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(60)] + [(i, 1, 0) for i in range(100, 300)], LABELS)
+    got = R.filter_urls(pages, labels, keep_scores=True)
+    assert got.columns == [*pages.columns, "host_", "mean", "lower_"]
+    ids = {r["page_id"] for r in got.collect()}
+    assert ids == set(range(100, 300)) | {900}
+    assert {r["page_id"] for r in R.filter_urls(pages, labels).collect()} == ids
+    assert {r["page_id"] for r in R.filter_urls(pages, labels, broadcast_rows=-1).collect()} == ids
+    bound = next(r["lower"] for r in R.reputations(pages.drop("host", "lower"), labels).collect() if r["host"] == "bad.example.com")
+    assert R.filter_urls(pages, labels, cutoff=bound).count() == 261 and R.filter_urls(pages, labels, cutoff=bound - 1e-6).count() == 201
