@@ -18,6 +18,7 @@ import base64
 import heapq
 import re
 import string
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,8 @@ def pattern_pairs(after_wide: bool) -> np.ndarray:
 class ForcedBoundaryBPE:
     """Encoder and decoder for one vocabulary. ``pattern`` None: merges may cross anything."""
 
-    KEEP, SHORT = 300_000, 64
+    #: Short fragments whose ids a worker keeps: so many of late, and as many from before.
+    KEEP, SHORT = 400_000, 48
 
     def __init__(self, vocabulary: bytes, pattern: str | None = PATTERN):
         self.ranks = read_ranks(vocabulary)
@@ -75,6 +77,7 @@ class ForcedBoundaryBPE:
         self.free = free.astype(np.uint8).tobytes()
         self.cuts = [(free & pattern_pairs(wide) if pattern else free).ravel() for wide in (False, True)]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def fragments(self, text: bytes) -> list[bytes]:
         if len(text) < 2:
@@ -86,19 +89,15 @@ class ForcedBoundaryBPE:
 
     def pieces(self, fragment: bytes) -> list[bytes]:
         """What the pattern makes of a fragment. Bytes that are not UTF-8 pass through it as characters of no class."""
-        if self.pattern is None:
+        if self.pattern is None or (fragment[1:] if fragment[0] == 32 else fragment).isalpha():  # ASCII letters
             return [fragment]
         return [p.encode("utf-8", "surrogateescape") for p in self.pattern.findall(fragment.decode("utf-8", "surrogateescape"))]
 
     def parts(self, piece: bytes) -> list[bytes]:
         """A piece cut at all its forced pairs."""
-        free, begin, out = self.free, 0, []
-        for i in range(1, len(piece)):
-            if free[piece[i - 1] << 8 | piece[i]]:
-                out.append(piece[begin:i])
-                begin = i
-        out.append(piece[begin:])
-        return out
+        free = self.free
+        at = [i + 1 for i, (a, b) in enumerate(zip(piece, piece[1:])) if free[a << 8 | b]]
+        return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])] if at else [piece]
 
     def merge(self, part: bytes) -> list[int]:
         """Ids of a part: of all adjacent tokens the pair of least rank merges first, of equal ones the leftmost."""
@@ -147,24 +146,27 @@ class ForcedBoundaryBPE:
         return out
 
     def _ids(self, fragment: bytes) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(fragment):
-            if self.pattern is not None and (whole := self.ranks.get(piece)) is not None:
-                ids.append(whole)
-                continue
-            for part in self.parts(piece):
-                ids += self.merge(part)
-        out = np.array(ids, "<i4").tobytes()
+        out = self.older.get(fragment)
+        if out is None:
+            ids: list[int] = []
+            for piece in self.pieces(fragment):
+                whole = self.ranks.get(piece) if self.pattern is not None else None
+                if whole is not None:
+                    ids.append(whole)
+                else:
+                    for part in self.parts(piece):
+                        ids += self.merge(part)
+            out = struct.pack(f"<{len(ids)}i", *ids)
         if len(fragment) <= self.SHORT:
             if len(self.known) >= self.KEEP:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[fragment] = out
         return out
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        known, ids = self.known.get, self._ids
-        return b"".join([known(f) or ids(f) for f in self.fragments(text)])
+        ids, own = self._ids, self.fragments(text)
+        return b"".join([x or ids(f) for f, x in zip(own, map(self.known.get, own))])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
