@@ -20,8 +20,9 @@ import uuid
 
 import numpy as np
 
-#: Common prefixes are measured up to this many symbols.
+#: Common prefixes are measured up to this many symbols; they are kept in two bytes.
 CAP = 200
+LCP, LCP_BITS = np.uint16, 16
 
 
 class Scratch:
@@ -70,7 +71,7 @@ class RangeQueue:
         if not len(symbol):
             return
         e = np.empty((len(symbol), 2), np.int64)
-        e[:, 0], e[:, 1] = symbol << 8 | lcp, place
+        e[:, 0], e[:, 1] = symbol << LCP_BITS | lcp, place
         at = np.searchsorted(self.groups, symbol, "right") - 1
         order = np.argsort(at, kind="stable")
         e, at = e[order], at[order]
@@ -98,7 +99,7 @@ class RangeQueue:
 
     def _divide(self, e: np.ndarray) -> None:
         """Tuples of the current group to its ranges, in the order they came."""
-        at = np.searchsorted(self.bounds, e[:, 0] >> 8, "right") - 1 - self.now * self.width
+        at = np.searchsorted(self.bounds, e[:, 0] >> LCP_BITS, "right") - 1 - self.now * self.width
         order = np.argsort(at, kind="stable")
         e, at = e[order], at[order]
         for s, t in zip(*self._cuts(at)):
@@ -122,16 +123,16 @@ class RangeQueue:
         self.split[r - g * self.width] = []
         e = np.concatenate(own) if own else np.empty((0, 2), np.int64)
         self.held -= len(e)
-        return e[:, 0] >> 8, e[:, 1], (e[:, 0] & 255).astype(np.uint8)
+        return e[:, 0] >> LCP_BITS, e[:, 1], (e[:, 0] & ((1 << LCP_BITS) - 1)).astype(LCP)
 
 
 class RangeMinimum:
     """Minimum over stretches of an array that only grows."""
 
     def __init__(self, n: int, scratch: Scratch):
-        self.levels = [scratch.array(n, np.uint8)]
+        self.levels = [scratch.array(n, LCP)]
         while 1 << len(self.levels) <= n:
-            self.levels.append(scratch.array(n, np.uint8))
+            self.levels.append(scratch.array(n, LCP))
         self.n = 0
 
     def extend(self, values: np.ndarray) -> None:
@@ -148,7 +149,7 @@ class RangeMinimum:
     def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Minimum of places first..last, both included."""
         k = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(first), np.uint8)
+        out = np.empty(len(first), LCP)
         for level in np.unique(k):
             m = k == level
             own = self.levels[level]
@@ -166,7 +167,7 @@ def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.n
         if not len(on):
             break
         out[on] = k + 1
-    return out.astype(np.uint8)
+    return out.astype(LCP)
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -205,7 +206,7 @@ def _chain(t: np.ndarray, place: np.ndarray, lcp: np.ndarray, runs: np.ndarray,
     order = np.lexsort((which, k))
     which, k = which[order], k[order]
     out = place[which] - k
-    got = np.zeros(len(out), np.uint8)
+    got = np.zeros(len(out), LCP)
     if want:
         got[0] = lcp[0]
         if len(out) > 1:
@@ -237,11 +238,11 @@ def _induce(t: np.ndarray, stype: np.ndarray, runs: np.ndarray, seeds: np.ndarra
     bounds = _bounds(counts, step)
     queue = RangeQueue(bounds, scratch)
     want = seed_lcp is not None
-    out, out_lcp, done = scratch.array(total, np.int64), scratch.array(total if want else 0, np.uint8), 0
+    out, out_lcp, done = scratch.array(total, np.int64), scratch.array(total if want else 0, LCP), 0
     rmq = RangeMinimum(total + len(seeds), scratch) if want else None
     last_rank = np.full(size, -1, np.int64) if want else None
     if down:  # the last suffix is S but has no successor that would induce it
-        queue.push(np.array([flip(int(t[n - 1]))]), np.array([n - 1]), np.zeros(1, np.uint8))
+        queue.push(np.array([flip(int(t[n - 1]))]), np.array([n - 1]), np.zeros(1, LCP))
     seed_symbol = flip(t[seeds].astype(np.int64))
     seed_at = np.searchsorted(seed_symbol, bounds)
     rank, before = 0, -1  # how many were met; symbol of the last
@@ -274,7 +275,7 @@ def _induce(t: np.ndarray, stype: np.ndarray, runs: np.ndarray, seeds: np.ndarra
         ok[ok] = induced[prev[ok]]
         src = np.flatnonzero(ok)
         target, place2 = flip(t[prev[src]].astype(np.int64)), prev[src]
-        got = np.zeros(len(src), np.uint8)
+        got = np.zeros(len(src), LCP)
         if want and len(src):
             order = np.argsort(target, kind="stable")
             ts, rs = target[order], rank + src[order]
@@ -284,7 +285,7 @@ def _induce(t: np.ndarray, stype: np.ndarray, runs: np.ndarray, seeds: np.ndarra
             prior[1:] = rs[:-1]
             prior[first] = last_rank[ts[first]]
             has = prior >= 0
-            g = np.zeros(len(ts), np.uint8)
+            g = np.zeros(len(ts), LCP)
             g[has] = np.minimum(rmq.least(prior[has] + 1, rs[has]).astype(np.int64) + 1, cap)
             got[order] = g
             ends = np.append(first[1:], True)
@@ -302,7 +303,7 @@ def _induce(t: np.ndarray, stype: np.ndarray, runs: np.ndarray, seeds: np.ndarra
             continue
         sym = np.concatenate([got[0], seed_symbol[s0:s1]])
         place = np.concatenate([got[1], seeds[s0:s1]])
-        lcp = np.concatenate([got[2], seed_lcp[s0:s1] if want else np.zeros(s1 - s0, np.uint8)])
+        lcp = np.concatenate([got[2], seed_lcp[s0:s1] if want else np.zeros(s1 - s0, LCP)])
         seed = np.concatenate([np.zeros(len(got[0]), bool), np.ones(s1 - s0, bool)])
         order = np.argsort(sym * 2 + seed, kind="stable")
         sym, place, lcp, seed = sym[order], place[order], lcp[order], seed[order]
@@ -371,9 +372,11 @@ def suffix_array(t: np.ndarray, scratch: Scratch, cap: int = CAP) -> tuple[np.nd
 
     ``t`` ends with a symbol 0 that occurs nowhere else.
     """
+    if cap >= 1 << LCP_BITS:
+        raise ValueError(f"common prefixes are measured up to {(1 << LCP_BITS) - 1} symbols, not {cap}")
     n = len(t)
     if n <= 2:
-        return np.arange(n)[::-1].copy(), np.zeros(n, np.uint8)
+        return np.arange(n)[::-1].copy(), np.zeros(n, LCP)
     stype = _types(t)
     stars = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1
     runs = np.arange(n)  # where the run of equal symbols begins
@@ -396,7 +399,7 @@ def suffix_array(t: np.ndarray, scratch: Scratch, cap: int = CAP) -> tuple[np.nd
     else:
         order = ordered
         have = np.zeros(len(order) - 1, np.int64)
-    lcp = np.zeros(len(order), np.uint8)
+    lcp = np.zeros(len(order), LCP)
     if len(order) > 1:
         a, b = order[:-1], order[1:]
         have = np.minimum(have, cap)
@@ -408,7 +411,7 @@ def suffix_array(t: np.ndarray, scratch: Scratch, cap: int = CAP) -> tuple[np.nd
         lcp[1:] = have
     up, up_lcp = _induce(t, stype, runs, order, lcp, False, scratch, cap)
     # in descending order, each has the common prefix with the one met before it, its successor
-    seed_lcp = np.zeros(len(up), np.uint8)
+    seed_lcp = np.zeros(len(up), LCP)
     seed_lcp[1:] = up_lcp[1:][::-1]
     down, down_lcp = _induce(t, stype, runs, np.ascontiguousarray(up[::-1]), seed_lcp, True, scratch, cap)
     return _merge(t, up, up_lcp, down, down_lcp, cap)
@@ -416,12 +419,12 @@ def suffix_array(t: np.ndarray, scratch: Scratch, cap: int = CAP) -> tuple[np.nd
 
 def _merge(t: np.ndarray, up: np.ndarray, up_lcp: np.ndarray, down: np.ndarray, down_lcp: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     s = down[::-1]
-    s_lcp = np.zeros(len(s), np.uint8)
+    s_lcp = np.zeros(len(s), LCP)
     s_lcp[1:] = down_lcp[1:][::-1]
     size = int(t.max()) + 1
     nl, ns = np.bincount(t[up], minlength=size), np.bincount(t[s], minlength=size)
     begin = np.cumsum(nl + ns) - nl - ns
-    sa, lcp = np.empty(len(t), np.int64), np.empty(len(t), np.uint8)
+    sa, lcp = np.empty(len(t), np.int64), np.empty(len(t), LCP)
     for own, own_lcp, n, base in ((up, up_lcp, nl, begin), (s, s_lcp, ns, begin + nl)):
         at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(base, n)
         sa[at], lcp[at] = own, own_lcp

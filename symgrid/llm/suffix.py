@@ -106,41 +106,48 @@ def _anchor_batches(min_words: int):
     return run
 
 
-def _side_shared(h: np.ndarray, side: np.ndarray, xk: np.ndarray) -> np.ndarray:
-    """Rows whose gram on one side is in more than one text."""
-    order = np.lexsort((side, h))
-    hs, ss, xs = h[order], side[order], xk[order]
-    begin = np.append(0, np.flatnonzero((hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])) + 1)
-    size = np.diff(np.append(begin, len(h)))
+def _side_shared(h: np.ndarray, side: np.ndarray, xk: np.ndarray, place: np.ndarray, within: bool) -> np.ndarray:
+    """Rows whose gram on one side is in more than one text, or with ``within`` at more than one place."""
+    order = np.lexsort((place, xk, side, h))
+    hs, ss, xs, ps = h[order], side[order], xk[order], place[order]
+    same = (hs[1:] == hs[:-1]) & (ss[1:] == ss[:-1])
+    other = same & ((xs[1:] != xs[:-1]) | ((ps[1:] != ps[:-1]) & within))
+    group = np.cumsum(np.append(0, ~same))
+    found = np.zeros(len(h), bool)
+    found[group[1:][other]] = True
     out = np.empty(len(h), bool)
-    out[order] = np.repeat(np.minimum.reduceat(xs, begin) != np.maximum.reduceat(xs, begin), size)
+    out[order] = found[group]
     return out & (side != 0)
 
 
-def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash; those stay that share the gram on one side at least with another text."""
-    rest: list[np.ndarray] | None = None
+def _shared_batches(within: bool):
+    """Rows sorted by hash; those stay that share the gram on one side at least with another text (or place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if rest and (last or rest[-1][0][-1] != cols[0][0]):  # else one hash goes on through the batch
+                yield from work([np.concatenate(z) for z in zip(*rest, [c[:last] for c in cols], strict=True)])
+                rest = []
+            elif last:
+                yield from work([c[:last] for c in cols])
+            rest.append([c[last:].copy() for c in cols])
+        if rest:
+            yield from work([np.concatenate(z) for z in zip(*rest, strict=True)])
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, xk, place, x, y = cols
-        left, right = _side_shared(h, x, xk), _side_shared(h, y, xk)
+        left, right = _side_shared(h, x, xk, place, within), _side_shared(h, y, xk, place, within)
         on = left | right
         if on.any():
             sides = left.astype(np.int32) + 2 * right.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(xk[on]), pa.array(place[on]), pa.array(sides[on])], ["hash", "xk", "place", "sides"])
 
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if rest is not None:
-            cols = [np.concatenate(z) for z in zip(rest, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
-        rest = [c[last:] for c in cols]
-        if last:
-            yield from work([c[:last] for c in cols])
-    if rest is not None:
-        yield from work(rest)
+    return run
 
 
 def _segment_batches(shards: int, min_words: int):
@@ -176,8 +183,8 @@ def _segment_batches(shards: int, min_words: int):
     return run
 
 
-def shard_repeats(text: np.ndarray, begin: np.ndarray, node: np.ndarray, start: np.ndarray, folder: str, entries: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """Repeats across the segments of one shard: node, first word, end, least node with the passage.
+def shard_repeats(text: np.ndarray, begin: np.ndarray, node: np.ndarray, start: np.ndarray, folder: str, entries: int, min_words: int = MIN_WORDS, within: bool = False) -> tuple[np.ndarray, ...]:
+    """Repeats across the documents of one shard (or also within one): node, first word, end, least node with the passage.
 
     Segment ``k`` is ``text[begin[k]:begin[k+1]]``, words ``start[k]`` and on of document ``node[k]``.
     """
@@ -212,7 +219,7 @@ def shard_repeats(text: np.ndarray, begin: np.ndarray, node: np.ndarray, start:
         word = start[seg] + place - np.where(seg > 0, ends[np.maximum(seg, 1) - 1] + 1, 0)
         groups = np.cumsum(size) - size
         low, high = np.minimum.reduceat(own, groups), np.maximum.reduceat(own, groups)
-        on = np.repeat(low != high, size)
+        on = np.repeat((low != high) | within, size)
         own, word, first = own[on], word[on], np.repeat(low, size)[on]
         if not len(own):
             return empty, empty, empty, empty
@@ -225,7 +232,7 @@ def shard_repeats(text: np.ndarray, begin: np.ndarray, node: np.ndarray, start:
         scratch.close()
 
 
-def _shard_batches(folder: str, entries: int, min_words: int):
+def _shard_batches(folder: str, entries: int, min_words: int, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, spool = None, None
         for b in batches:
@@ -244,7 +251,7 @@ def _shard_batches(folder: str, entries: int, min_words: int):
 
     def finish(spool: Spool) -> Iterator[pa.RecordBatch]:
         try:
-            found = shard_repeats(*spool.arrays(), folder, entries, min_words)
+            found = shard_repeats(*spool.arrays(), folder, entries, min_words, within)
         finally:
             spool.close()
         if len(found[0]):
@@ -291,31 +298,39 @@ class Spool:
         self.scratch.close()
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, entries: int = ENTRIES, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, entries: int = ENTRIES, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
     """``doc_id, start_word, n_words, first_doc_id``: each stretch of a document that other documents have, too.
 
     Every stretch is a union of passages of at least ``min_words`` words, each of which occurs in
     another document; ``first_doc_id`` is the least id that has one of them, and where it is the
-    document itself the stretch is a first occurrence. Words are runs of letters, digits and
+    document itself the stretch is a first occurrence. With ``within``, passages count as well that
+    occur twice in one document, at places that may overlap. Words are runs of letters, digits and
     underscores, compared in lower case, counted from 0. Texts that are equal as a whole are one
-    for the sorting, and each of theirs is reported from its first to its last word. Repeats within
-    one document only, texts of fewer words, null and empty texts and rows without an id give nothing;
-    repeated rows of one id and text are one document. Other columns are ignored.
+    for the sorting, and each of theirs is reported from its first to its last word. Texts of fewer
+    words, null and empty texts and rows without an id give nothing; repeated rows of one id and text
+    are one document. Very long texts are searched whole. Two texts under one id are one document, whose
+    stretches are reported together. Other columns are ignored; an empty table gives no rows.
+
+    There are as many shards as keep the text of each within what a task sorts in memory, unless one
+    passage alone is longer; ``spark.checkpoint.dir`` must be a folder that executors can open as files.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    shards = shards or parts
     folder = re.sub(r"^file:/*", "/", shared_dir(spark))
+    if "://" in folder:
+        raise ValueError(f"suffix arrays need a shared folder that is mounted, not {folder}")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("xk"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     found = written(own.mapInArrow(_anchor_batches(min_words), "hash long, id long, xk long, place int, n int, l long, r long"), "anchors")
     texts = cut(found.groupBy("xk").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.max("n").alias("n")))
-    shared = found.select("hash", "xk", "place", "l", "r").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_shared_batches, "hash long, xk long, place int, sides int")
-    per_text = shared.distinct().groupBy("xk").agg(F.collect_list(F.struct("hash", "place", "sides")).alias("a"))
+    shared = found.select("hash", "xk", "place", "l", "r").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_shared_batches(within), "hash long, xk long, place int, sides int")
+    shared = written(shared.distinct(), "shared")
+    shards = shards or max(parts, -(-shared.count() * min_words // entries))
+    per_text = shared.groupBy("xk").agg(F.collect_list(F.struct("hash", "place", "sides")).alias("a"))
     wanted = per_text.join(texts, "xk").select(F.col("rep").alias("id"), "xk", F.col("a.hash").alias("hashes"), F.col("a.place").alias("places"), F.col("a.sides").alias("sides"))
     held = own.join(wanted, ["id", "xk"]).select("id", "text", "hashes", "places", "sides")
     segments = held.mapInArrow(_segment_batches(shards, min_words), "shard int, node long, start int, words array<int>")
     placed = segments.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
-    spans = placed.mapInArrow(_shard_batches(folder, entries, min_words), "node long, start long, stop long, first long")
+    spans = placed.mapInArrow(_shard_batches(folder, entries, min_words, within), "node long, start long, stop long, first long")
     copies = texts.where("rep <> most")
     whole = copies.select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"), F.col("rep").alias("first"))
     w = Window.partitionBy("node").orderBy("start", "stop")

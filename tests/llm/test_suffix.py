@@ -38,13 +38,13 @@ def test_suffix_array_in_memory_and_on_disk(tmp_path, entries):
     assert (spilled > 0) == (entries < 100)
 
 
-def brute_cover(texts, n):
-    """Word places of each document that lie in a passage of n words another document has."""
+def brute_cover(texts, n, within=False):
+    """Word places of each document that lie in a passage of n words another document has (or another place)."""
     words = {i: X._WORD.findall(t.lower()) for i, t in texts if t}
     where = defaultdict(set)
     for i, w in words.items():
         for k in range(len(w) - n + 1):
-            where[tuple(w[k : k + n])].add(i)
+            where[tuple(w[k : k + n])].add((i, k) if within else i)
     out = defaultdict(set)
     for i, w in words.items():
         for k in range(len(w) - n + 1):
@@ -95,3 +95,29 @@ def test_anchors_meet_in_equal_passages():
 def test_edge_cases(spark):
     assert rows(X.repeated_passages(EDGE_DOCS(spark)))[:2] == [(3, 0, 120, 3), (4, 0, 120, 3)]
     assert rows(X.repeated_passages(documents(spark, []))) == []
+
+
+@pytest.mark.parametrize("n", [255, 256, 300, 700])
+def test_long_passages(spark, n):
+    rng = random.Random(n)
+    p = prose(rng, 800)
+    texts = [(1, f"{prose(rng, 40)} {p}"), (2, f"{p} {prose(rng, 90)}"), (3, prose(rng, 900))]
+    got = cover(rows(X.repeated_passages(documents(spark, texts), min_words=n)))
+    assert got == brute_cover(texts, n) and set(got) == {1, 2}
+    with pytest.raises(ValueError):
+        suffix_array(np.array([2, 1, 0]), Scratch("", 4), 1 << 16)
+
+
+def test_repeats_within_a_document(spark):
+    rng = random.Random(4)
+    p, q = prose(rng, 80), prose(rng, 60)
+    texts = [(1, f"{p} {prose(rng, 30)} {p}"), (2, f"{q} {prose(rng, 100)}"), (3, f"{prose(rng, 9)} {q}"), (4, "so " * 120), (5, prose(rng, 300))]
+    docs = documents(spark, texts)
+    assert cover(rows(X.repeated_passages(docs, within=True))) == brute_cover(texts, 50, within=True)
+    assert set(cover(rows(X.repeated_passages(docs)))) == {2, 3}
+
+
+def test_remote_folders_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(X, "shared_dir", lambda s: "hdfs://there/folder")
+    with pytest.raises(ValueError):
+        X.repeated_passages(documents(spark, [(1, "a")]))
