@@ -6,7 +6,8 @@ fuzzy name of the segment. Each segment is decoded as it is and with every singl
 gives one key (the word lies within two bits of a codeword) or six (it lies at three). Two segments
 that differ in at most two bits have a word within one bit of both and therefore share a key. By the
 pigeonhole principle two fingerprints at most ``3 * 7 - 1 = 20`` bits apart have such a segment, so
-up to there the search is exact; up to ``MAX_DISTANCE`` it finds nearly all pairs.
+up to there the search is exact. Beyond, up to ``MAX_DISTANCE``, a pair is found if it has a segment
+that errs little by luck, which most have; it is verified like any other, so none is wrong.
 """
 
 from __future__ import annotations
@@ -80,15 +81,14 @@ def golay_keys(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Three 64-bit words of fingerprint and the number of tokens of each text.
 
-    Features are the lower-cased words of more than four letters (all words where there is none),
-    weighted by 1 + ln(count). A text without a word has 0 tokens.
+    Features are all lower-cased words, weighted by 1 + ln(count). A text without a word has 0 tokens.
     """
     n, digests, weights, ends = np.zeros(len(texts), np.int32), [], [], []
     total = 0
     for i, t in enumerate(texts):
         words = _WORD.findall(t.lower()) if t else []
         n[i] = len(words)
-        counts = Counter([w for w in words if len(w) > 4] or words)
+        counts = Counter(words)
         for w in counts:
             digests.append(xxhash.xxh3_128_digest(w) + xxhash.xxh3_64_digest(w, seed=7))
         weights.extend(counts.values())
@@ -255,9 +255,10 @@ def near_duplicate_members(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``doc_id, kept_doc_id``: each document of a group with the one of it that stays (the least id).
 
-    Null or token-less texts belong to no group. Null ids never stay while another id is in the
-    group, and are not reported. Repeated rows of one id and text are one document. Other columns
-    are ignored; an empty table gives no rows.
+    Null or token-less texts belong to no group; very long texts count whole. Null ids never stay
+    while another id is in the group, and are not reported. Repeated rows of one id and text are one
+    document; of two texts under one id each is in its own group, so that the id may have two rows.
+    Other columns are ignored; an empty table gives no rows.
     """
     own = cut(near_duplicate_members(docs, id_col, text_col, max_distance).select("id", "label"))
     kept = own.groupBy("label").agg(F.min("id").alias("kept_doc_id"))
@@ -267,7 +268,8 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least id (nulls last).
 
-    Rows whose text is null or has no word all stay. All columns are returned unchanged.
+    Rows whose text is null or has no word all stay. Of two texts under one id each is judged by its
+    own group. All columns are returned unchanged; an empty table gives an empty one.
     """
     members = cut(near_duplicate_members(docs, id_col, text_col, max_distance).select("id", "xk", "label"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "xk"))

@@ -7,7 +7,7 @@ import pytest
 from symgrid.llm import bpe, mixing, quality, secrets
 from symgrid.llm.common import components
 
-from .fixtures import DOCS
+from .fixtures import DOCS, EDGE_DOCS, documents, prose
 from .test_mixing import brute as brute_mix
 from .test_simhash import brute as brute_pairs, groups
 
@@ -63,3 +63,35 @@ def test_nothing_else_imports_the_subpackage():
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", p.read_text(), re.M), p
 
 
+
+
+def test_edge_cases(spark, tmp_path):
+    """Null ids, null, empty, blank, wordless and very long texts, ties, repeated rows and clashing names in every stage."""
+    docs = EDGE_DOCS(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = docs
+    for _, f in pipeline.STAGES[:-1]:
+        at = f(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    # 1, 2, 6: no words; 7: unlike all others; 4 and 8 are copies of 3, as is its repeated row
+    assert {r["doc_id"] for r in got} >= {3, 5} and not {1, 2, 6, 4, 8} & {r["doc_id"] for r in got}
+    assert all(r["exact"] for r in got) and max(r["n_tokens"] for r in got) > 30_000
+
+
+def test_empty_table(spark, tmp_path):
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_decisions_take_effect(spark, tmp_path):
+    rng = random.Random(2)
+    base = [(i, prose(rng, 80)) for i in range(120)]
+    near = [(200 + i, base[i][1] + " indeed") for i in range(5)]
+    secret = [(300, prose(rng, 60) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + prose(rng, 20))]
+    documents(spark, base + near + secret + [(400, "buy " * 500)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in base} | {300}
+    with open(bpe.VOCABULARY, "rb") as f:
+        coder = bpe.ForcedBoundaryBPE(f.read())
+    assert "[secret: named-hex-secret]" in coder.decode(got[300]["ids"]).decode()

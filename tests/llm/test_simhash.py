@@ -112,3 +112,17 @@ def test_length_sets_no_limit(spark):
     want = {(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(f[i] ^ f[j]).sum() <= 3 * S.SEGMENTS - 1}
     assert any(max(n[i], n[j]) >= 1.9 * min(n[i], n[j]) for i, j in want)
     assert groups(rows(S.near_duplicate_pairs(documents(spark, list(enumerate(texts)))))) == groups(want)
+
+
+def test_two_texts_under_one_id(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 90), prose(rng, 90)
+    docs = documents(spark, [(5, a), (5, b), (6, a), (4, b)])
+    assert rows(S.near_duplicate_pairs(docs)) == [(5, 4), (6, 5)]
+    assert sorted((r["doc_id"], r["text"]) for r in S.drop_near_duplicates(docs).collect()) == sorted([(5, a), (4, b)])
+
+
+def test_numbers_and_short_words_count():
+    f, _ = S.fingerprints(["the cat sat on it 12 34 long words here", "the cat sat on it 12 99 long words here", "a dog ran by me 12 34 long words here"])
+    d = lambda i, j: int(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).sum())
+    assert 0 < d(0, 1) < d(0, 2)
