@@ -1,4 +1,15 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages, each written as Parquet and read again by the next.
+
+Every stage takes any table with the columns of ``documents`` and passes further columns on, whatever
+their names. An empty table goes through all stages. Rows are treated as follows.
+
+- Null, empty and blank texts: rejected by the quality rules. Texts without a word: never near copies.
+- Null languages and sources: groups and a source of their own. Null ids: kept, last to stay in a
+  group of near copies, mixed in by the hash of their text.
+- Very long texts: measured, compared, scanned and encoded whole.
+- Ties: a value at a cutoff passes; of near copies the least id stays, of equal ids the least hash.
+- Repeated rows: near copies of each other, so one stays.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +20,17 @@ from symgrid.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule go."""
+    """Documents that fail a rule of their language and source go."""
     return quality.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the least id."""
     return simhash.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Confirmed secrets are replaced by a mark."""
+    """Confirmed secrets are replaced by a mark and ``n_chars`` follows; every document stays."""
     return secrets.redact_secrets(docs)
 
 
@@ -29,7 +40,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids, n_tokens, exact`` of each copy."""
+    """``doc_id, ids, n_tokens, exact`` of each copy that the mixing emitted."""
     return bpe.encode_documents(docs)
 
 
