@@ -4,7 +4,7 @@ Equal passages must meet in one shard wherever their documents lie. Every docume
 of the hashes of its 12-word grams the least of every 39 consecutive ones is an anchor, so any two
 copies of a passage of 50 words have an anchor in common, and with it at least 19 words to its left
 or to its right. Anchors that share neither with another document are dropped; around the others, all
-stretches of 50 words that hold the anchor go to the anchor's shard.
+stretches of 50 words whose least gram is the anchor go to the anchor's shard.
 A shard's text is sorted by external induced sorting (``esais``), its common prefixes of 50 words or
 more give the repeats, and what the shards found in a document is merged.
 """
@@ -49,16 +49,17 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 
 def anchors(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Hashes and places of the anchors, and hashes of what lies to their left and right.
+    """Hashes and places of the anchors, hashes of what lies to their left and right, and their reach.
 
     Every ``min_words`` consecutive words hold an anchor whole. Of such a stretch at least half of
     what is not the anchor is on one side of it; the other hashes are those of the anchor with that
-    much to its left and right, 0 where the text ends before.
+    much to its left and right, 0 where the text ends before. The reach tells which stretches have the
+    anchor as their least gram: how far before it the first begins, and (times 1 << 15) how many follow.
     """
     n, span = len(words) - gram + 1, min_words - gram + 1
     if len(words) < min_words:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     h = _grams(words, None, gram)
     found, step = [], 1 << 22
     for s in range(0, n - span + 1, step):
@@ -69,22 +70,27 @@ def anchors(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) ->
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[:size], low[span - width : span - width + size])
-        found.append((np.unique(low & _PLACE) + np.uint64(s)).astype(np.int64))
-    place = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-    # a run of one word has one gram throughout; one anchor for each window is enough there
+        found.append(((low & _PLACE) + np.uint64(s)).astype(np.int64))
+    least = found[0] if len(found) == 1 else np.concatenate(found)  # of each stretch; it never moves back
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    place, many = least[first], np.diff(np.append(first, len(least))) - 1
+    # a run of one word has one gram throughout; one anchor for each stretch is enough there, with all that hold it
     if len(place) > 2:
         same = (np.diff(place) == 1) & (h[place[1:]] == h[place[:-1]])
-        start = np.append(True, ~same)
-        first = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
-        last = np.append(~same, True)
-        place = place[((np.arange(len(place)) - first) % span == 0) | last]
+        start, last = np.append(True, ~same), np.append(~same, True)
+        run = ~(start & last)
+        first = np.where(run, np.maximum(place - span + 1, 0), first)
+        many = np.where(run, np.minimum(place, len(words) - min_words) - first, many)
+        begin = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
+        on = ((np.arange(len(place)) - begin) % span == 0) | last
+        place, first, many = place[on], first[on], many[on]
     half = (min_words - gram + 1) // 2
     left, right = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
     on = place >= half
     left[on] = _grams(words, place[on] - half, half + gram) | np.uint64(1)
     on = place + gram + half <= len(words)
     right[on] = _grams(words, place[on], half + gram) | np.uint64(1)
-    return h[place].view(np.int64), place, left.view(np.int64), right.view(np.int64)
+    return h[place].view(np.int64), place, left.view(np.int64), right.view(np.int64), place - first | many << 15
 
 
 def _anchor_batches(min_words: int):
@@ -100,23 +106,28 @@ def _anchor_batches(min_words: int):
                     rows += [i] * len(found[-1][0])
                     ns += [len(w)] * len(found[-1][0])
                 take = pa.array(rows, pa.int32())
-                h, p, x, y = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), pa.array(ns, pa.int32()), pa.array(x), pa.array(y)], ["hash", "id", "xk", "place", "n", "l", "r"])
+                h, p, x, y, r = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), pa.array(ns, pa.int32()), pa.array(x), pa.array(y), pa.array(r.astype(np.int32))], ["hash", "id", "xk", "place", "n", "l", "r", "reach"])
 
     return run
 
 
 def _side_shared(h: np.ndarray, side: np.ndarray, xk: np.ndarray, place: np.ndarray, within: bool) -> np.ndarray:
     """Rows whose gram on one side is in more than one text, or with ``within`` at more than one place."""
-    order = np.lexsort((place, xk, side, h))
-    hs, ss, xs, ps = h[order], side[order], xk[order], place[order]
-    same = (hs[1:] == hs[:-1]) & (ss[1:] == ss[:-1])
-    other = same & ((xs[1:] != xs[:-1]) | ((ps[1:] != ps[:-1]) & within))
-    group = np.cumsum(np.append(0, ~same))
-    found = np.zeros(len(h), bool)
-    found[group[1:][other]] = True
+    if not within:
+        order = np.lexsort((side, h))
+        hs, ss, xs = h[order], side[order], xk[order]
+        begin = np.append(0, np.flatnonzero((hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])) + 1)
+        shared = np.minimum.reduceat(xs, begin) != np.maximum.reduceat(xs, begin)
+    else:
+        order = np.lexsort((place, xk, side, h))
+        hs, ss, xs, ps = h[order], side[order], xk[order], place[order]
+        same = (hs[1:] == hs[:-1]) & (ss[1:] == ss[:-1])
+        begin = np.append(0, np.flatnonzero(~same) + 1)
+        other = np.append(False, same & ((xs[1:] != xs[:-1]) | (ps[1:] != ps[:-1])))
+        shared = np.logical_or.reduceat(other, begin)
     out = np.empty(len(h), bool)
-    out[order] = found[group]
+    out[order] = np.repeat(shared, np.diff(np.append(begin, len(h))))
     return out & (side != 0)
 
 
@@ -140,12 +151,12 @@ def _shared_batches(within: bool):
             yield from work([np.concatenate(z) for z in zip(*rest, strict=True)])
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, xk, place, x, y = cols
+        h, xk, place, x, y, reach = cols
         left, right = _side_shared(h, x, xk, place, within), _side_shared(h, y, xk, place, within)
         on = left | right
         if on.any():
             sides = left.astype(np.int32) + 2 * right.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(xk[on]), pa.array(place[on]), pa.array(sides[on])], ["hash", "xk", "place", "sides"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(xk[on]), pa.array(place[on]), pa.array(sides[on]), pa.array(reach[on])], ["hash", "xk", "place", "sides", "reach"])
 
     return run
 
@@ -160,13 +171,19 @@ def _segment_batches(shards: int, min_words: int):
                 shard, node, start, ends, words = [], [], [], [0], [np.zeros(0, np.uint32)]
                 for i in range(part.num_rows):
                     w = word_hashes(part.column(1)[i].as_py())
-                    h, p, sides = (part.column(k)[i].values.to_numpy() for k in (2, 3, 4))
+                    h, p, sides, reach = (part.column(k)[i].values.to_numpy() for k in (2, 3, 4, 5))
                     own = h % shards
-                    order = np.lexsort((p, own))
-                    own, p, sides = own[order], p[order].astype(np.int64), sides[order]
+                    # only stretches that reach as far as what is shared on a side
                     half = (min_words - GRAM + 1) // 2
-                    reach = lambda on: np.where(on, min_words - GRAM, half - 1)
-                    a, z = np.maximum(p - reach(sides & 1), 0), np.minimum(p + GRAM + reach(sides & 2), len(w))
+                    far = lambda on: np.where(on, min_words - GRAM, half - 1)
+                    p = p.astype(np.int64)
+                    first = p - (reach & 0x7FFF)
+                    a, z = np.maximum(p - far(sides & 1), first), np.minimum(p + GRAM + far(sides & 2), first + (reach >> 15) + min_words)
+                    on = z - a >= min_words
+                    order = np.flatnonzero(on)[np.lexsort((a[on], own[on]))]
+                    if not len(order):
+                        continue
+                    own, p, a, z = own[order], p[order], a[order], z[order]
                     top = np.maximum.accumulate(z + own * (1 << 40)) - own * (1 << 40)
                     new = np.append(True, (own[1:] != own[:-1]) | (a[1:] > top[:-1]))
                     at = np.flatnonzero(new)
@@ -316,18 +333,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, entries: int
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if not GRAM < min_words < 1 << 15:
+        raise ValueError(f"passages have more than {GRAM} and under {1 << 15} words, not {min_words}")
     folder = re.sub(r"^file:/*", "/", shared_dir(spark))
     if "://" in folder:
         raise ValueError(f"suffix arrays need a shared folder that is mounted, not {folder}")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("xk"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    found = written(own.mapInArrow(_anchor_batches(min_words), "hash long, id long, xk long, place int, n int, l long, r long"), "anchors")
+    found = written(own.mapInArrow(_anchor_batches(min_words), "hash long, id long, xk long, place int, n int, l long, r long, reach int"), "anchors")
     texts = cut(found.groupBy("xk").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.max("n").alias("n")))
-    shared = found.select("hash", "xk", "place", "l", "r").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_shared_batches(within), "hash long, xk long, place int, sides int")
+    shared = found.select("hash", "xk", "place", "l", "r", "reach").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_shared_batches(within), "hash long, xk long, place int, sides int, reach int")
     shared = written(shared.distinct(), "shared")
     shards = shards or max(parts, -(-shared.count() * min_words // entries))
-    per_text = shared.groupBy("xk").agg(F.collect_list(F.struct("hash", "place", "sides")).alias("a"))
-    wanted = per_text.join(texts, "xk").select(F.col("rep").alias("id"), "xk", F.col("a.hash").alias("hashes"), F.col("a.place").alias("places"), F.col("a.sides").alias("sides"))
-    held = own.join(wanted, ["id", "xk"]).select("id", "text", "hashes", "places", "sides")
+    per_text = shared.groupBy("xk").agg(F.collect_list(F.struct("hash", "place", "sides", "reach")).alias("a"))
+    wanted = per_text.join(texts, "xk").select(F.col("rep").alias("id"), "xk", F.col("a.hash").alias("hashes"), F.col("a.place").alias("places"), F.col("a.sides").alias("sides"), F.col("a.reach").alias("reach"))
+    held = own.join(wanted, ["id", "xk"]).select("id", "text", "hashes", "places", "sides", "reach")
     segments = held.mapInArrow(_segment_batches(shards, min_words), "shard int, node long, start int, words array<int>")
     placed = segments.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     spans = placed.mapInArrow(_shard_batches(folder, entries, min_words, within), "node long, start long, stop long, first long")
