@@ -17,6 +17,7 @@ class CodeMap:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     fixed: set[str] = field(default_factory=set)
     derive_refs: bool = False
+    derived: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:

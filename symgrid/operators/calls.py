@@ -50,13 +50,16 @@ def same_file_refs(m: CodeMap) -> DataFrame:
     return c.select("file_id", "caller", F.col("line").alias("call_line"), F.col("d.line").alias("target_line"), F.lit(1).alias("target_col"), F.col("name").alias("target_name"), F.col("d.ret").alias("target_ret")).distinct()
 
 
-def imported_names(m: CodeMap, hops: int = HOPS) -> DataFrame:
+def imported_names(m: CodeMap, hops: int = HOPS, only: DataFrame | None = None) -> DataFrame:
     """``file_id, name, target``: from which files a name may have been imported.
 
     The last segment of a module path decides if any other file answers to it, else all segments do;
     an imported name that is itself a file counts, too. An import without names brings in all
-    functions of its targets. Bindings are followed through ``hops`` facades.
+    functions of its targets. Bindings are followed through ``hops`` facades, each step materialised,
+    until no file is new. With ``only`` (name) just those names are looked at: a facade passes a
+    name on under the name it has, so no other can matter.
     """
+    wanted = (lambda df: df) if only is None else (lambda df: df.join(only.select("name").distinct(), "name", "left_semi"))
     s = m.files.select(F.col("file_id").alias("target"), stem("path").alias("stem"), F.element_at(F.split(parent_dir("path"), "/"), -1).alias("dir"))
     answers = s.select("stem", "target").unionByName(s.where(F.col("stem").isin(*FACADES) & (F.col("dir") != "")).select(F.col("dir").alias("stem"), "target")).distinct()
     imps = m.imports.select("file_id", "module", "names").distinct().withColumn("segs", segments("module"))
@@ -69,13 +72,19 @@ def imported_names(m: CodeMap, hops: int = HOPS) -> DataFrame:
     hit = imps.select(*key, F.explode(asked).alias("q")).select(*key, "q.*").join(answers, "stem").where("target <> file_id")
     best = F.min(F.when(F.col("rung") < 2, F.col("rung"))).over(Window.partitionBy(*key))
     hit = hit.withColumn("best", best).where("rung = 2 or rung = best").select(*key, "target").distinct()
-    named = hit.select("file_id", F.explode("names").alias("name"), "target")
-    whole = hit.where(F.size("names") == 0).join(m.funcs.select(F.col("file_id").alias("target"), "name").distinct(), "target").select("file_id", "name", "target")
-    bound = named.unionByName(whole).distinct()
+    hit = cut(hit)
+    named = wanted(hit.select("file_id", F.explode("names").alias("name"), "target"))
+    has = wanted(m.funcs.select(F.col("file_id").alias("target"), "name").distinct())
+    whole = hit.where(F.size("names") == 0).join(has, "target").select("file_id", "name", "target")
+    bound = cut(named.select("file_id", "name", "target").unionByName(whole).distinct())
+    size = bound.count()
     for _ in range(hops):
         via = bound.select(F.col("file_id").alias("target"), "name", F.col("target").alias("next"))
         step = bound.join(via, ["target", "name"]).where("next <> file_id").select("file_id", "name", F.col("next").alias("target"))
-        bound = bound.unionByName(step).distinct()
+        grown = cut(bound.unionByName(step).distinct())
+        before, bound, size = size, grown, grown.count()
+        if size == before:
+            break
     return bound
 
 
@@ -99,17 +108,24 @@ def call_edges(m: CodeMap) -> DataFrame:
     """``src, dst, sites``: distinct edges of the call graph and how often each counts as a call site.
 
     Same-file references; else the one definition of (receiver type, name); else the one definition in
-    another file that a qualifier's identifier names or the name was imported from. A receiver-typed
-    edge counts once however often it is called, and not at all where the edge is there already; a
-    receiver-typed call of the function itself is no edge. The tables that are read several times are
-    checkpointed first, and so is the outcome.
+    another file that a qualifier's identifier names or the name was imported from. References count
+    first, then calls in the order of their lines: an evident call always counts, a receiver-typed one
+    only if it is the first of its edge (on one line, evident ones come first); a receiver-typed call of
+    the function itself is no edge. The tables that are read several times are checkpointed first, and
+    so is the outcome.
     """
+    if "edges" in m.derived:
+        return m.derived["edges"]
     m.fix("files", "funcs", "calls", "imports")
     m.tables["refs"] = same_file_refs(m) if m.derive_refs else m.refs
     m.fix("refs")
-    refs = m.refs.select("file_id", "caller", "call_line", "target_name")
+    refs = m.refs.select("file_id", "caller", F.col("call_line").alias("line"), "target_name")
+    # which definition each place belongs to is asked three times below
+    places = m.calls.select("file_id", "caller", "line").unionByName(refs.select("file_id", "caller", "line")).distinct()
+    at = cut(owners(m, places, "caller", "line"))
+    place = ["file_id", "caller", "line"]
     first = m.funcs.groupBy("file_id", "name").agg(F.min("node_id").alias("dst"))
-    local = owners(m, refs, "caller", "call_line").join(first.withColumnRenamed("name", "target_name"), ["file_id", "target_name"]).select("src", "dst")
+    local = refs.join(at, place).join(first.withColumnRenamed("name", "target_name"), ["file_id", "target_name"]).select("src", "dst")
     has = m.funcs.select("file_id", "name").distinct().unionByName(module_frames(m).select("file_id", F.lit(TOP).alias("name")))
     # equal calls resolve alike: resolve each once, count them again at the end
     c = m.calls.groupBy("file_id", "caller", "line", "name", "qualifier", "recv_type").agg(F.count(F.lit(1)).alias("n"))
@@ -117,24 +133,28 @@ def call_edges(m: CodeMap) -> DataFrame:
     plain = c.where("recv_type is null").join(has, ["file_id", "name"], "left_anti")
     method = m.funcs.where("owner is not null").groupBy(F.col("owner").alias("recv_type"), "name").agg(F.count(F.lit(1)).alias("defs"), F.min("node_id").alias("dst")).where("defs = 1").drop("defs")
     typed = typed.join(method, ["recv_type", "name"], "left")
-    by_type = owners(m, typed.where("dst is not null"), "caller", "line").where("src <> dst").select("src", "dst").distinct()
-    rest = plain.unionByName(typed.where("dst is null").drop("dst").select(*plain.columns))
+    by_type = typed.where("dst is not null").join(at, place).where("src <> dst").groupBy("src", "dst").agg(F.min("line").alias("typed"))
+    rest = cut(plain.unionByName(typed.where("dst is null").drop("dst").select(*plain.columns)))
     cand = m.funcs.select("name", F.col("node_id").alias("dst"), F.col("file_id").alias("target"))
-    aliases = file_aliases(m)
     call = ["file_id", "name", "qualifier"]
-    keys = rest.select(*call).distinct()
-    by_alias = keys.withColumn("alias", F.explode(segments("qualifier"))).join(aliases.select("alias", F.col("file_id").alias("target")), "alias").where("target <> file_id").select(*call, "target")
-    by_import = keys.join(imported_names(m), ["file_id", "name"]).where("target <> file_id").select(*call, "target")
-    evident = by_alias.unionByName(by_import).distinct().join(cand, ["name", "target"])
+    keys = cut(rest.select(*call).distinct())
+    # definitions by name and what their file is called, so that a common directory name meets few of them
+    called = cand.join(file_aliases(m).select("alias", F.col("file_id").alias("target")), "target")
+    by_alias = keys.withColumn("alias", F.explode(F.array_distinct(segments("qualifier")))).join(called, ["name", "alias"])
+    by_import = keys.join(imported_names(m, only=keys).join(cand, ["name", "target"]), ["file_id", "name"])
+    evident = by_alias.select(*call, "target", "dst").unionByName(by_import.select(*call, "target", "dst")).where("target <> file_id").drop("target").distinct()
     one = evident.groupBy(*call).agg(F.count(F.lit(1)).alias("k"), F.min("dst").alias("dst")).where("k = 1").drop("k")
     same = (F.col("r.file_id") == F.col("o.file_id")) & (F.col("r.name") == F.col("o.name")) & F.col("r.qualifier").eqNullSafe(F.col("o.qualifier"))
     matched = rest.alias("r").join(one.alias("o"), same).select("r.*", "dst")
-    cross = owners(m, matched, "caller", "line").select("src", "dst", "n")
-    # sites: every local and evident call, receiver-typed ones only where the edge is new
-    parts = local.select("src", "dst", F.lit(1).cast("long").alias("n"), F.lit(0).alias("t")).unionByName(cross.select("src", "dst", "n", F.lit(0).alias("t"))).unionByName(by_type.select("src", "dst", F.lit(0).cast("long").alias("n"), F.lit(1).alias("t")))
-    # calls are met file by file in order of line; a typed call after an evident one of the same edge adds nothing
-    g = parts.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
-    return cut(g.select("src", "dst", F.when((F.col("t") == 1) & (F.col("n") == 0), 1).otherwise(F.col("n")).cast("long").alias("sites")))
+    cross = matched.join(at, place).groupBy("src", "dst").agg(F.sum("n").alias("evident"), F.min("line").alias("line"))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
+    parts = local.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("local")).select("src", "dst", "local", *none("long", "evident"), *none("int", "line", "typed"))
+    parts = parts.unionByName(cross.select("src", "dst", *none("long", "local"), "evident", "line", *none("int", "typed"))).unionByName(by_type.select("src", "dst", *none("long", "local", "evident"), *none("int", "line"), "typed"))
+    g = parts.groupBy("src", "dst").agg(*[F.max(x).alias(x) for x in ("local", "evident", "line", "typed")])
+    leads = F.col("typed").isNotNull() & F.col("local").isNull() & (F.col("line").isNull() | (F.col("typed") < F.col("line")))
+    sites = F.coalesce("local", F.lit(0)) + F.coalesce("evident", F.lit(0)) + F.when(leads, 1).otherwise(0)
+    m.derived["edges"] = cut(g.select("src", "dst", sites.cast("long").alias("sites")))
+    return m.derived["edges"]
 
 
 def degrees(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:

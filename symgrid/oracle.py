@@ -38,12 +38,14 @@ PARTS: dict[str, str] = {
     "refs": "select distinct c.file_id, c.caller, c.line as call_line, f.line as target_line, c.name as target_name, f.ret as target_ret from calls c join first_def d on d.file_id = c.file_id and d.name = c.name join funcs f on f.node_id = d.dst where c.recv_type is null",
     "local_edges": "select o.src, d.dst from refs r join caller_node o on o.file_id = r.file_id and o.caller = r.caller and o.line = r.call_line join first_def d on d.file_id = r.file_id and d.name = r.target_name",
     "methods": "select owner as ty, name, min(node_id) as dst from funcs where owner is not null group by all having count(*) = 1",
-    "typed_edges": "select distinct o.src, m.dst from calls c join methods m on m.ty = c.recv_type and m.name = c.name join caller_node o on o.file_id = c.file_id and o.caller = c.caller and o.line = c.line where o.src <> m.dst",
+    "typed_edges": "select o.src, m.dst, c.line from calls c join methods m on m.ty = c.recv_type and m.name = c.name join caller_node o on o.file_id = c.file_id and o.caller = c.caller and o.line = c.line where o.src <> m.dst",
     "open_calls": "select c.* from calls c where (recv_type is null and not exists (select 1 from first_def d where d.file_id = c.file_id and d.name = c.name)) or (recv_type is not null and not exists (select 1 from methods m where m.ty = c.recv_type and m.name = c.name))",
     "evident": f"""select file_id, name, qualifier, min(node_id) as dst from (select distinct k.file_id, k.name, k.qualifier, f.node_id from (select distinct file_id, name, qualifier from open_calls) k join funcs f on f.name = k.name and f.file_id <> k.file_id
   where exists (select 1 from aliases a where a.file_id = f.file_id and list_contains({_SEGS("coalesce(k.qualifier, '')")}, a.alias)) or exists (select 1 from imported i where i.file_id = k.file_id and i.name = k.name and i.target = f.file_id)) group by all having count(*) = 1""",
-    "cross_edges": "select o.src, e.dst from open_calls c join evident e on e.file_id = c.file_id and e.name = c.name and e.qualifier is not distinct from c.qualifier join caller_node o on o.file_id = c.file_id and o.caller = c.caller and o.line = c.line",
-    "edges": "select src, dst, case when sum(n) = 0 then 1 else sum(n) end::bigint as sites from (select src, dst, 1 as n from local_edges union all select src, dst, 1 from cross_edges union all select src, dst, 0 from typed_edges) group by all",
+    "cross_edges": "select o.src, e.dst, c.line from open_calls c join evident e on e.file_id = c.file_id and e.name = c.name and e.qualifier is not distinct from c.qualifier join caller_node o on o.file_id = c.file_id and o.caller = c.caller and o.line = c.line",
+    # what is met of an edge, in order: a typed call counts only where it is the very first
+    "met": "select *, row_number() over (partition by src, dst order by phase, line, typed) as nth from (select src, dst, 0 as phase, 0 as line, false as typed from local_edges union all select src, dst, 1, line, false from cross_edges union all select src, dst, 1, line, true from typed_edges)",
+    "edges": "select src, dst, (count(*) filter (not typed or nth = 1))::bigint as sites from met group by src, dst",
     "degrees": "select n.node_id, coalesce(callers, 0)::bigint as callers, coalesce(callees, 0)::bigint as callees, coalesce(sites, 0)::bigint as call_sites from nodes n left join (select dst, count(*) as callers, sum(sites) as sites from edges group by 1) i on i.dst = n.node_id left join (select src, count(*) as callees from edges group by 1) o on o.src = n.node_id",
     "nloops": "select node_id, count(*) as loops, max(depth) as loop_depth from loops group by 1",
     "metrics": f"""select f.*, x.path, x.language, x.is_typed, x.family, coalesce(loops, 0)::bigint as loops, coalesce(loop_depth, 0)::bigint as loop_depth, (1 + f.branches + coalesce(loops, 0))::bigint as cx, (f.test_ctx or {TEST_PATH("x.path")}) as is_test
