@@ -1,4 +1,4 @@
-"""Scalar functions as Column expressions; all of them stay in the JVM but ``short_hash``."""
+"""Scalar functions as Column expressions; all of them stay in the JVM."""
 
 from __future__ import annotations
 
@@ -43,6 +43,31 @@ def strip_comment(s: Column | str) -> Column:
 def is_shouting(s: Column | str) -> Column:
     return _c(s).rlike("^[A-Z0-9_]*[A-Z][A-Z0-9_]*$")
 
+WRAPPERS = ("Option", "Result", "Vec", "Box", "Rc", "Arc", "RefCell", "Cell", "Mutex", "RwLock", "shared_ptr", "unique_ptr", "weak_ptr", "vector", "optional", "Promise", "Array", "ReadonlyArray", "Partial", "Readonly")
+
+
+def normalize_type(raw: Column | str) -> Column:
+    """The bare name of a declared type: no sigils, keywords or generics, wrappers with one argument unwrapped, up to eight times."""
+
+    def step(s: Column) -> Column:
+        s = F.trim(F.regexp_replace(F.regexp_replace(F.trim(s), r"^[:&*( ]+", ""), r"[;?), ]+$", ""))
+        for kw in ("mut", "const", "readonly", "dyn", "impl", "static", "final"):
+            s = F.trim(F.regexp_replace(s, f"^{kw} ", ""))
+        s = F.trim(F.regexp_replace(s, r"(?:\[\])+$", ""))
+        s = F.trim(F.regexp_replace(s, r"^\[\]", ""))
+        head = F.regexp_extract(s, r"^([^<]*)<", 1)
+        inner = F.regexp_replace(F.regexp_extract(s, r"(?s)^[^<]*<(.*)$", 1), ">$", "")
+        args = F.filter(F.transform(F.split(inner, ","), F.trim), lambda a: (a != "") & ~a.startswith("'"))
+        first = F.when(F.size(args) > 0, F.element_at(args, 1)).otherwise(inner)
+        return F.when(F.trim(F.regexp_replace(head, "^.*::", "")).isin(*WRAPPERS), first).otherwise(s)
+
+    s = F.aggregate(F.array_repeat(F.lit(0), 8), F.trim(_c(raw)), lambda acc, _: step(acc))
+    s = F.regexp_replace(s, r"(?s)<.*$", "")
+    for sep in ("::", r"\.", "->"):
+        s = F.regexp_replace(s, f"(?s)^.*{sep}", "")
+    return F.trim(s)
+
+
 def segments(path: Column | str) -> Column:
     """The identifiers of a module path or qualifier."""
     return F.filter(F.split(_c(path), IDENT), lambda x: x != "")
@@ -72,10 +97,10 @@ def name_distance(query: Column | str, name: Column | str) -> Column:
     q, n = F.lower(_c(query)), F.lower(_c(name))
     cap = F.greatest(F.lit(2), F.floor(F.length(q) / 3).cast("int"))
     d = F.levenshtein(q, n)
-    return F.when(q == n, 0).when(F.contains(n, q) | F.contains(q, n), 1000 + F.abs(F.length(q) - F.length(n))).when(d <= cap, 2000 + d)
+    return F.when(q == n, 0).when(F.contains(n, q) | F.contains(q, n), 1000 + F.least(F.abs(F.length(q) - F.length(n)), F.lit(999))).when(d <= cap, 2000 + d)
 
 def short_hash(s: Column | str) -> Column:
-    """The low half of the 64-bit FNV-1a hash as eight hex digits; the multiplication is in decimals, modulo 2^64."""
+    """The low half of the 64-bit FNV-1a hash as eight hex digits; only the low half of the state decides it, so 64-bit arithmetic is enough."""
 
     def step(h: Column, code: Column) -> Column:
         # only the low 40 bits of the prime and 32 of the state decide the low 32 bits of the product
@@ -129,7 +154,9 @@ def strip_stamp(line: Column | str) -> Column:
     return F.regexp_replace(_c(line), r"\d{8}-\d{2}-\d{2}-\d{2}", "")
 
 def utc_stamp(ts: Column | None = None) -> Column:
-    return F.date_format(ts if ts is not None else F.current_timestamp(), "yyyyMMdd-HH-mm-ss")
+    """A time as ``20240131-23-59-59`` in UTC, whatever the session's time zone."""
+    ts = ts if ts is not None else F.current_timestamp()
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")), "yyyyMMdd-HH-mm-ss")
 
 def norm_key(k: Column | str) -> Column:
     return F.lower(F.trim(_c(k)))
@@ -138,7 +165,7 @@ def pick_transport(a: Column | str, b: Column | str) -> Column:
     return F.when(_c(a) != "unspecified", _c(a)).otherwise(_c(b))
 
 VIA = {"annotation": 0, "receiver-type": 1, "qualifier": 2, "project": 3, "import": 4, "type-reference": 5, "name-only": 6}
-STATUS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type-changed", "U": "unmerged"}
+STATUS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type_changed"}
 
 def _lookup(c: Column | str, of: dict, other: object) -> Column:
     out = None
@@ -173,8 +200,8 @@ def query_params(url: Column | str) -> Column:
 def target_id(file: Column | str, function: Column | str) -> Column:
     return F.concat_ws("::", _c(file), _c(function))
 
-def facade_name(path: Column | str) -> Column:
-    """What a file is imported as: its directory if it is a facade of it, else its stem."""
-    s = stem(path)
-    d = F.element_at(F.split(parent_dir(path), "/"), -1)
-    return F.when(s.isin("__init__", "index", "mod", "lib") & (d != ""), d).otherwise(s)
+def facade_name(path: Column | str, project: Column | str | None = None) -> Column:
+    """What a facade is imported as: ``__init__`` and ``mod`` by their directory, ``lib`` by the name of the project; other files by their stem."""
+    s, d = stem(path), F.nullif(F.element_at(F.split(parent_dir(path), "/"), -1), F.lit(""))
+    own = F.lit(None).cast("string") if project is None else _c(project)
+    return F.when(s.isin("__init__", "mod"), d).when(s == "lib", own).otherwise(s)

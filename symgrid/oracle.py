@@ -56,6 +56,53 @@ PARTS: dict[str, str] = {
     "pairs": f"select * from (values {_VALUES([(r[0], *p.split(':')) for r in LANGUAGES for p in r[6].split()])}) v(language, acquire_name, release_name)",
     "node_service": "select n.node_id, n.file_id, n.name, min(service) as service from nodes n left join members m on m.file_id = n.file_id group by all",
 }
+_REL = "('self', 'Self', 'this', 'cls', 'super', 'crate')"
+PARTS |= {
+    "tcalls": f"select c.*, x.path, x.family, x.language, x.is_typed, x.package_scoped from calls c join files x on x.file_id = c.file_id where {TEST_PATH('x.path')} or c.test_ctx or {TEST_NAME('c.caller')}",
+    "own_types": "select name as ty from types union select owner from funcs where owner is not null",
+    "defs": f"select f.node_id, f.name, f.owner, f.file_id, x.family, {_DIR('x.path')} as dir from funcs f join files x on x.file_id = f.file_id",
+    # each call on its own: definitions it could mean, then the first rung of evidence that fits
+    "tcalls_n": f"select *, row_number() over () as cid, list_filter({_SEGS("coalesce(qualifier, '')")}, lambda x: x not in {_REL}) as segs from tcalls",
+    "tcand": f"""select t.cid, d.node_id, d.owner = t.recv_type as method, d.file_id = t.file_id as same_file, t.package_scoped and d.dir = {_DIR('t.path')} as same_dir, exists (select 1 from imported i where i.file_id = t.file_id and i.name = t.name and i.target = d.file_id) as imp,
+  exists (select 1 from aliases a where a.file_id = d.file_id and list_contains(t.segs, a.alias)) as named from tcalls_n t join defs d on d.name = t.name and d.family = t.family""",
+    "tstate": """select t.*, coalesce(recv_type is not null and recv_type not in (select ty from own_types), false) as alien, len(segs) > 0 as qualified, exists (select 1 from aliases a where list_contains(t.segs, a.alias)) as inside,
+  coalesce(k.nm, 0) as nm, coalesce(k.ns, 0) as ns, coalesce(k.nd, 0) as nd, coalesce(k.ni, 0) as ni, coalesce(k.nq, 0) as nq, coalesce(k.n, 0) as n
+  from tcalls_n t left join (select cid, count(*) filter (method) as nm, count(*) filter (same_file) as ns, count(*) filter (same_dir) as nd, count(*) filter (imp) as ni, count(*) filter (named) as nq, count(*) as n from tcand group by cid) k on k.cid = t.cid""",
+    "trung": """select *, case when alien then -1 when nm > 0 then 0 when qualified and not inside then -1 when not qualified and ns > 0 then 1 when not qualified and nd > 0 then 2 when not qualified and ni = 1 then 3 when qualified and nq = 1 then 4 when not qualified and not is_typed and n = 1 then 5 end as rung from tstate""",
+    "thits": "select r.*, c.node_id from trung r join tcand c on c.cid = r.cid and case r.rung when 0 then c.method when 1 then c.same_file when 2 then c.same_dir when 3 then c.imp when 4 then c.named when 5 then true else false end",
+    "tests_of": f"""select node_id, test, file, line, language, list_extract(['receiver-type', 'same-file', 'same-package', 'import', 'qualifier', 'name-only'], rung + 1) as evidence, (row_number() over (partition by node_id order by rung, file, test, line))::int as rank
+  from (select h.node_id, h.caller as test, h.path as file, coalesce((select f.line from funcs f where f.file_id = h.file_id and f.name = h.caller order by f.node_id limit 1), h.line) as line, h.language, min(rung) as rung from thits h where h.caller <> '<top>' group by all)""",
+}
+_UNION = lambda q: f"coalesce((select list_sort(list(distinct service)) from {q}), [])"
+PARTS |= {
+    "def_sv": "select distinct f.name, m.service from funcs f join members m on m.file_id = f.file_id",
+    "meth_sv": "select distinct f.owner, f.name, m.service from funcs f join members m on m.file_id = f.file_id where f.owner is not null",
+    "type_sv": "select distinct t.name, m.service from types t join members m on m.file_id = t.file_id",
+    "word_sv": f"""select distinct word, service from (select file_id, {_STEM("path")} as word from files union all select file_id, regexp_extract({_DIR("path")}, '([^/]*)$', 1) from files where {_STEM("path")} in ('__init__', 'index', 'mod', 'lib') union all select file_id, name from types union all select file_id, name from modules) w join members m on m.file_id = w.file_id where word <> ''""",
+    "imp_sv": "select distinct i.file_id, i.names, w.service from imps i join word_sv w on list_contains(i.segs, w.word) or list_contains(i.names, w.word)",
+    "bound_sv": "select distinct file_id, unnest(names) as name, service from imp_sv",
+    "whole_sv": "select distinct file_id, service from imp_sv where len(names) = 0",
+    "qual_sv": f"select distinct qualifier, service from (select qualifier, unnest({_SEGS('qualifier')}) as seg from (select distinct qualifier from calls where qualifier is not null)) q join (select word, service from word_sv union select service, service from members) w on w.word = q.seg",
+    "kcalls": "select distinct m.service, c.file_id, c.name, c.qualifier, c.recv_type, x.is_typed from calls c join members m on m.file_id = c.file_id join files x on x.file_id = c.file_id",
+    "klists": f"""select k.*, {_UNION("meth_sv s where s.owner = k.recv_type and s.name = k.name and s.service <> k.service")} as t, exists (select 1 from def_sv d where d.name = k.name) as known, {_UNION("def_sv d where d.name = k.name and d.service <> k.service")} as e,
+  {_UNION("qual_sv q where q.qualifier = k.qualifier")} as ql, {_UNION("bound_sv b where b.file_id = k.file_id and b.name = k.name")} as bl, {_UNION("whole_sv w where w.file_id = k.file_id")} as wl from kcalls k""",
+    "ksteps": "select service, file_id, name, qualifier, recv_type, known, e, [t, list_sort(list_intersect(e, ql)), list_sort(list_intersect(e, bl)), list_sort(list_intersect(e, wl)), case when not is_typed and len(e) = 1 then e else [] end] as steps from klists",
+    # the first step that leaves anything; the first one is tried whether or not the name is known
+    "kfirst": "select *, coalesce(list_position(list_transform(steps, lambda x: len(x) > 0), true), 0) as pos from ksteps",
+    "resolved": """select service, file_id, name, qualifier, recv_type, case when live and len(steps[pos]) = 1 then steps[pos][1] end as target, case when live and len(steps[pos]) = 1 then ['receiver-type', 'qualifier', 'import', 'import', 'name-only'][pos] end as via,
+  case when live and len(steps[pos]) = 1 then null when live then 'ambiguous' when not known then 'undefined' when len(e) = 0 then 'local' when len(e) > 1 then 'ambiguous' else 'no-evidence' end as reason,
+  case when live and len(steps[pos]) = 1 then [] when live then steps[pos] when not known or len(e) = 0 then [] else e end as candidates from (select *, pos = 1 or (pos > 1 and known and len(e) > 0) as live from kfirst)""",
+    "rcalls": "select r.*, c.line, x.path from resolved r join calls c on c.file_id = r.file_id and c.name = r.name and c.qualifier is not distinct from r.qualifier and c.recv_type is not distinct from r.recv_type join files x on x.file_id = r.file_id",
+    "mentions": "select f.file_id, x.path, f.line, unnest([regexp_extract(ret, '^(?:Result|Option)<([^,>]*)', 1), case when ret not like '%<%' then ret end, owner]) as symbol from funcs f join files x on x.file_id = f.file_id where x.is_typed",
+    "trefs": "select m.service as src, any_value(t.service) as dst, n.symbol, n.path, n.line from mentions n join members m on m.file_id = n.file_id join type_sv t on t.name = n.symbol and t.service <> m.service where n.symbol <> '' group by m.service, n.symbol, n.path, n.line, n.file_id having count(distinct t.service) = 1",
+    "met_symbols": """select service as src, target as dst, name as symbol, path, line, via, 'call' as kind, case via when 'receiver-type' then 1 when 'qualifier' then 2 when 'import' then 4 else 6 end as strength from rcalls where target is not null
+  union all select src, dst, symbol, path, line, 'type-reference', 'type', 5 from trefs""",
+    "symbols": "select src, dst, symbol, path, line, via, kind from (select *, row_number() over (partition by src, dst order by fk, fp, fl, fv, symbol) as n from (select *, row_number() over (partition by src, dst, symbol order by strength, kind, path, line, via) as rn, first_value(kind) over w as fk, first_value(path) over w as fp, first_value(line) over w as fl, first_value(via) over w as fv from met_symbols window w as (partition by src, dst, symbol order by kind, path, line, via)) where rn = 1) where n <= 100",
+    "evident_edges": "select coalesce(s.src, d.src) as src, coalesce(s.dst, d.dst) as dst, d.src is not null as declared, s.src is not null as detected, coalesce(n, 0)::bigint as symbols from (select src, dst, count(*) as n from symbols group by 1, 2) s full join deps d on d.src = s.src and d.dst = s.dst",
+    "ann": "select a.*, x.path, lower(trim(key)) as k, row_number() over () as aid from annotations a join files x on x.file_id = a.file_id",
+    "met_ann": "select c.aid, c.key, case when c.transport <> 'unspecified' then c.transport else s.transport end as transport, coalesce(c.own, '') as src, coalesce(s.service, '') as dst, c.path, c.line, c.function, s.path as remote_path, s.line as remote_line from (select ann.*, (select min(service) from members m where m.file_id = ann.file_id) as own from ann where boundary = 'calls') c join (select ann.*, m.service from ann left join members m on m.file_id = ann.file_id where boundary = 'serves') s on s.k = c.k and coalesce(c.own, '') <> coalesce(s.service, '')",
+    "sites": "select key, transport, src, dst, path, line, function, remote_path, remote_line, false as external from met_ann union all select key, transport, coalesce((select min(service) from members m where m.file_id = ann.file_id), ''), '', path, line, function, null, null, false from ann where boundary = 'calls' and aid not in (select aid from met_ann)",
+}
 PARTS["aliases"] = PARTS["aliases"].replace("""
   and not (alias in ('src', 'pkg', 'internal', 'cmd', 'app', 'lib', 'test', 'tests', 'include') and alias not in (select 'none'))""", "").replace(f"unnest(string_split({_DIR('path')}, '/')) from files", f"d from (select file_id, unnest(string_split({_DIR('path')}, '/')) as d from files) where d not in ('src', 'pkg', 'internal', 'cmd', 'app', 'lib', 'test', 'tests', 'include')")
 

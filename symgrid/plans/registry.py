@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..codemap import DEPS, SERVICES, from_tables
 from ..functions import scalars as S
-from ..operators import calls as C, metrics as M, search, services as V, spans
+from ..operators import calls as C, coverage as T, metrics as M, resolve as R, search, services as V, spans
 from ..oracle import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,71 @@ PROBES = ("f12", "F77x", "tst_f3", "nothing_like_it")
   from (select distinct name, lower(name) as n from funcs) cross join (select unnest({list(PROBES)}) as probe, lower(unnest({list(PROBES)})) as q)) where score is not null) where rn <= {search.NEAREST}""")
 def nearest_names(m):  # noqa: ANN001, ANN201
     return search.nearest_names(m.funcs, m.spark.createDataFrame([(p,) for p in PROBES], "probe string"))
+
+
+@query(f"select * from tests_of where rank <= {T.MOST_TESTS}")
+def covering_tests(m):  # noqa: ANN001, ANN201
+    return T.covering_tests(m)
+
+
+@query("""select (select count(*) from (select distinct file_id, caller from tcalls where caller <> '<top>')) as tests, count(*) filter (rung = -1) as external_calls, count(*) filter (rung is null) as unresolved_calls,
+  (select count(distinct node_id) from thits where caller <> '<top>') as covered, (select count(distinct node_id) from thits where node_id not in (select node_id from thits where caller <> '<top>')) as touched from trung""")
+def coverage_totals(m):  # noqa: ANN001, ANN201
+    return T.coverage_totals(m)
+
+
+def _resolved(m):  # noqa: ANN001, ANN202
+    if "resolved" not in m.derived:
+        m.fix("files", "funcs", "calls", "imports")
+        m.derived["members"] = C.cut(V.members(m, SERVICES))
+        m.derived["resolved"] = C.cut(R.resolved_calls(m, m.derived["members"]))
+        m.derived["symbols"] = C.cut(R.edge_symbols(m, m.derived["members"], m.derived["resolved"]))
+    return m.derived["resolved"]
+
+
+@query("select service, file_id, name, qualifier, recv_type, target, via, reason, array_to_string(candidates, ',') as candidates from resolved")
+def service_resolution(m):  # noqa: ANN001, ANN201
+    return _resolved(m).withColumn("candidates", F.array_join("candidates", ","))
+
+
+@query("select src, dst, symbol, path, line, via, kind from symbols")
+def service_edge_symbols(m):  # noqa: ANN001, ANN201
+    _resolved(m)
+    return m.derived["symbols"]
+
+
+@query("select * from evident_edges")
+def service_edges_by_evidence(m):  # noqa: ANN001, ANN201
+    _resolved(m)
+    return R.overlay(m.derived["symbols"], DEPS)
+
+
+@query("select src, symbol, path, line, reason, candidates from (select service as src, name as symbol, path, line, reason, array_to_string(candidates, ',') as candidates, row_number() over (partition by service, name order by path, line, reason, array_to_string(candidates, ',')) as rn from rcalls where reason in ('ambiguous', 'no-evidence')) where rn = 1 order by path, line, src, symbol limit 100")
+def unresolved_calls(m):  # noqa: ANN001, ANN201
+    return R.unresolved(m, _resolved(m))
+
+
+@query("select * from sites")
+def crossing_sites(m):  # noqa: ANN001, ANN201
+    return R.crossing_sites(m, V.members(m, SERVICES))
+
+
+@query("""select coalesce(e.src, n.src) as src, coalesce(e.dst, n.dst) as dst, coalesce(declared, false) as declared, coalesce(detected, false) or n.src is not null as detected, (coalesce(symbols, 0) + coalesce(more, 0))::bigint as symbols
+from evident_edges e full join (select src, dst, count(*) as more from (select distinct src, dst, key, path, line from sites where src <> '' and dst <> '') x where not exists (select 1 from symbols s where s.src = x.src and s.dst = x.dst and s.symbol = x.key and s.path = x.path and s.line = x.line) group by 1, 2) n on n.src = e.src and n.dst = e.dst""")
+def merged_edges(m):  # noqa: ANN001, ANN201
+    _resolved(m)
+    edges = R.overlay(m.derived["symbols"], DEPS)
+    return R.merge_crossings(edges, m.derived["symbols"], R.crossing_sites(m, m.derived["members"]))[0]
+
+
+_CHANGED_SV = "select distinct service from members where path in (select path from hunks)"
+
+
+@query("""select service, case when len(way) = 1 then 'changed' else 'dependency' end as reason, array_to_string(way, ' <- ') as path from (select *, row_number() over (partition by service order by len(way), way) as rn from walk) where rn = 1""", starts=_CHANGED_SV, walk="select service, [service] as way from starts union select e.src, list_append(w.way, e.src) from walk w join evident_edges e on e.dst = w.way[-1] where not list_contains(w.way, e.src)")
+def impact_of_changes(m):  # noqa: ANN001, ANN201
+    _resolved(m)
+    changed = m.derived["members"].join(m.tables["hunks"].select("path").distinct(), "path", "left_semi").select("service").distinct()
+    return R.impact(R.overlay(m.derived["symbols"], DEPS), changed)
+
+
+SQL["impact_of_changes"] = SQL["impact_of_changes"].replace("with ", "with recursive ", 1).replace("walk as materialized", "walk as")
