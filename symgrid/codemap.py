@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -77,17 +80,37 @@ SERVICES = {"svc0": ["svc0"], "svc1": ["svc1/**"], "svc2": ["svc2/mod?/*.*", "sv
 DEPS = {"svc0": ["svc3", "billing"], "svc1": ["svc2"]}
 
 
-def from_tables(spark: SparkSession, sf_dir: str) -> CodeMap:
-    """The driver's tables as a code map. The SQL above runs against their Parquet files."""
-    import uuid
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_KNOWN: dict[tuple, CodeMap] = {}
+
+
+def _stamp(sf_dir: str) -> tuple | None:
+    """Time and size of the files; None where they can't be seen from here."""
+    try:
+        return tuple((x.st_mtime_ns, x.st_size) for x in (os.stat(f"{sf_dir}/{t}.parquet") for t in _TABLES))
+    except OSError:
+        return None
+
 
+def forget() -> None:
+    """Drops the maps that the session keeps."""
+    _KNOWN.clear()
+
+
+def from_tables(spark: SparkSession, sf_dir: str) -> CodeMap:
+    """The driver's tables as a code map. The SQL above runs against their Parquet files.
+
+    A session keeps the map of a folder, with what was derived from it, until the files change.
+    """
+    stamp = _stamp(sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, stamp)
+    if stamp is not None and key in _KNOWN:
+        return _KNOWN[key]
     tag, views = uuid.uuid4().hex[:8], {}
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in _TABLES:
         views[t] = f"{t}_{tag}"
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(views[t])
     out = {}
-    import re
-
     names = [*views, *TABLE_SQL]
     for name, sql in TABLE_SQL.items():
         bound = re.sub(rf"\b(from|join) ({'|'.join(names)})\b", lambda m: f"{m[1]} {m[2]}_{tag}", sql)
@@ -99,4 +122,8 @@ def from_tables(spark: SparkSession, sf_dir: str) -> CodeMap:
 
     m = CodeMap(spark, out, derive_refs=True)
     m.tables["refs"] = same_file_refs(m)
+    if stamp is not None:
+        for old in [k for k in _KNOWN if k[:3] == key[:3]]:
+            del _KNOWN[old]
+        _KNOWN[key] = m
     return m

@@ -73,6 +73,15 @@ PARTS |= {
     "tests_of": f"""select node_id, test, file, line, language, list_extract(['receiver-type', 'same-file', 'same-package', 'import', 'qualifier', 'name-only'], rung + 1) as evidence, (row_number() over (partition by node_id order by rung, file, test, line))::int as rank
   from (select h.node_id, h.caller as test, h.path as file, coalesce((select f.line from funcs f where f.file_id = h.file_id and f.name = h.caller order by f.node_id limit 1), h.line) as line, h.language, min(rung) as rung from thits h where h.caller <> '<top>' group by all)""",
 }
+PARTS |= {
+    "links": "select distinct src, dst from edges where src <> dst",
+    "reaches": "select src as a, dst as b from links union select r.a, l.dst from reaches r join links l on l.src = r.b",
+    "scc": "select a as node_id, greatest(a, max(b)) as cycle from (select x.a, x.b from reaches x join reaches y on y.a = x.b and y.b = x.a where x.a <> x.b) group by a",
+    "comp": "select n.node_id, coalesce(s.cycle, n.node_id) as c from nodes n left join scc s on s.node_id = n.node_id",
+    "dag": "select distinct a.c as a, b.c as b from edges e join comp a on a.node_id = e.src join comp b on b.node_id = e.dst where a.c <> b.c",
+    "ways": "select distinct c, 0 as len from comp union select d.a, w.len + 1 from ways w join dag d on d.b = w.c",
+    "depths": "select c, max(len) as depth from ways group by c",
+}
 _UNION = lambda q: f"coalesce((select list_sort(list(distinct service)) from {q}), [])"
 PARTS |= {
     "def_sv": "select distinct f.name, m.service from funcs f join members m on m.file_id = f.file_id",
@@ -119,4 +128,7 @@ def build(sql: str, **extra: str) -> str:
                 out.append(f"{w} as materialized ({parts[w]})")
 
     need(sql)
-    return "with " + ",\n".join(out) + "\n" + sql if out else sql
+    loops = [w for w in done if re.search(rf"\b(from|join) {w}\b", parts[w])]
+    for w in loops:
+        out = [x.replace(f"{w} as materialized (", f"{w} as (", 1) if x.startswith(f"{w} as materialized (") else x for x in out]
+    return ("with recursive " if loops else "with ") + ",\n".join(out) + "\n" + sql if out else sql

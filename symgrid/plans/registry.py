@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..codemap import DEPS, SERVICES, from_tables
 from ..functions import scalars as S
-from ..operators import calls as C, coverage as T, metrics as M, resolve as R, search, services as V, spans
+from ..operators import calls as C, coverage as T, graph as G, metrics as M, report as P, resolve as R, search, services as V, spans
 from ..oracle import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,8 +172,6 @@ def callers_of_changes(m):  # noqa: ANN001, ANN201
     return spans.callers_within(C.call_edges(m), spans.changed_functions(m, m.tables["hunks"]))
 
 
-SQL["callers_of_changes"] = SQL["callers_of_changes"].replace("with ", "with recursive ", 1).replace("reach as materialized", "reach as")
-
 _HITS = "select 'func' as kind, file_id, line, name from funcs where contains(lower(name), 'f1') union all select 'const', file_id, line, name from consts where contains(lower(name), 'f1') union all select 'type', file_id, line, name from types where contains(lower(name), 'f1') union all select 'note', file_id, line, text from notes where contains(lower(text), 'f1')"
 
 
@@ -261,4 +259,110 @@ def impact_of_changes(m):  # noqa: ANN001, ANN201
     return R.impact(R.overlay(m.derived["symbols"], DEPS), changed)
 
 
-SQL["impact_of_changes"] = SQL["impact_of_changes"].replace("with ", "with recursive ", 1).replace("walk as materialized", "walk as")
+
+def _graph(m):  # noqa: ANN001, ANN202
+    edges = C.call_edges(m)
+    return C.nodes(m), edges, P._cycles(m, edges)
+
+
+@query("select node_id, cycle from scc")
+def call_cycles(m):  # noqa: ANN001, ANN201
+    return _graph(m)[2]
+
+
+@query("select cycle, count(*) as size, string_agg(node_id::varchar, ',' order by node_id) filter (i <= 12) as members from (select *, row_number() over (partition by cycle order by node_id) as i from scc) group by cycle order by size desc, cycle limit 25")
+def largest_cycles(m):  # noqa: ANN001, ANN201
+    return G.cycles(_graph(m)[2])
+
+
+@query("select node_id, depth::int as depth from comp join depths on depths.c = comp.c")
+def call_depth(m):  # noqa: ANN001, ANN201
+    return G.depth_below(*_graph(m))
+
+
+@query("select node_id as root, depth::int as depth, chain from (select r.node_id, d.depth, (select string_agg(x::varchar, ',' order by i) from (select unnest(w.path) as x, unnest(range(len(w.path))) as i)) as chain from roots r join depths d on d.c = r.c join walkdown w on w.root = r.node_id and len(w.path) = d.depth + 1)", roots="select c.node_id, c.c from comp c join depths d on d.c = c.c where depth > 0 and c.node_id not in (select dst from links) order by depth desc, c.node_id limit 25",
+    down="select a, b from (select g.a, g.b, row_number() over (partition by g.a order by depth desc, g.b) as rn from dag g join depths d on d.c = g.b) where rn = 1", walkdown="select node_id as root, c as last, [node_id] as path from roots union all select w.root, d.b, list_append(w.path, d.b) from walkdown w join down d on d.a = w.last")
+def deepest_chains(m):  # noqa: ANN001, ANN201
+    return G.deepest_chains(*_graph(m))
+
+
+@query()
+def flame_tree(m):  # noqa: ANN001, ANN201
+    nodes, edges, _ = _graph(m)
+    called = edges.where("src <> dst").select(F.col("dst").alias("node_id")).distinct()
+    return G.flame(edges, nodes.select("node_id").join(called, "node_id", "left_anti"))
+
+
+@query("select file_id, path, split_part(path, '/', 1) as service from files")
+def fallback_services(m):  # noqa: ANN001, ANN201
+    return G.fallback_members(m)
+
+
+_TARGET_PARTS = {
+    "hots": "select greatest(list_extract(l, len(l) * 9 // 10 + 1), 3) as hot from (select list_sort(list(call_sites)) as l from degrees where call_sites > 0)",
+    "of_node": "select n.node_id, (select min(service) from members m where m.file_id = n.file_id) as service from nodes n",
+    "crossed": "select e.dst as node_id, count(distinct a.service) as services, count(*) as crossed from edges e join of_node a on a.node_id = e.src join of_node b on b.node_id = e.dst where a.service is not null and b.service is distinct from a.service group by 1",
+    "tf": """select m.*, callers, callees, call_sites, depth, o.service, coalesce(services, 0) as services, coalesce(crossed, 0) as crossed, (select count(*) from resources r where r.node_id = m.node_id) as res, (select count(*) from resources r where r.node_id = m.node_id and acquire) as acq, m.node_id in (select node_id from thits) as covered, m.node_id in (select node_id from changed) as pinned, hot
+  from metrics m join degrees d on d.node_id = m.node_id join comp c on c.node_id = m.node_id join depths on depths.c = c.c join of_node o on o.node_id = m.node_id left join crossed x on x.node_id = m.node_id, hots where not is_test""",
+    "tg": "select *, coalesce(call_sites >= hot and (loop_depth > 0 or res > 0), false) as is_hot from tf where pinned or covered or cx > 1 or callees > 0 or callers > 0 or body_lines > 3",
+    "scored": """select node_id, kind, score, row_number() over (partition by node_id order by score desc, i) as rn, max(score) over (partition by node_id) as top from (select node_id, unnest(['perf-test', 'integration-test', 'contract-test', 'load-test', 'smoke-test']) as kind, unnest([1, 2, 3, 4, 5]) as i,
+  unnest([loop_depth * loop_depth * 10 + case when recursive then depth * 2 else 0 end, callees * 4 + depth * 3 + cx, services * 25, case when is_hot then call_sites * 4 + loop_depth * 10 else 0 end, 8 + case when callers = 0 then 20 else 0 end]::bigint[]) as score from tg) where score > 0""",
+    "targets": """select g.node_id, path || '::' || name as id, service, (select kind from scored s where s.node_id = g.node_id and rn = 1) as kind, coalesce((select string_agg(kind, ',' order by rn) from scored s where s.node_id = g.node_id and rn > 1 and score * 5 >= top * 2), '') as also,
+  (cx * 3 + loop_depth * 8 + depth * 4 + call_sites * 2 + callees * 3 + crossed * 10 + case when covered then 0 else 40 end + case when recursive then 6 else 0 end)::bigint as priority, covered, pinned,
+  concat_ws('; ', case when loop_depth >= 2 then loop_depth || ' nested loop levels' end, case when recursive then 'recursive, over a chain ' || depth || ' deep' end, case when services > 0 then 'called from ' || services || ' other service(s)' end, case when callees >= 3 or depth >= 3 then callees || ' direct call-out(s), chain ' || depth || ' deep' end,
+    case when is_hot then call_sites || ' call sites from ' || callers || ' caller(s)' end, case when callers = 0 then 'nothing calls it' end, case when cx >= 10 then cx || ' decision points' end) as why,
+  concat_ws('; ', case when regexp_matches(coalesce(ret, ''), 'Result|[Ee]rror') then 'fallible' end, case when regexp_matches(coalesce(ret, ''), 'Option|null|undefined') then 'may return nothing' end, case when res > 0 then 'acquires ' || acq end, case when not is_typed then 'untyped' end, case when owner is not null then 'method' end) as semantics from tg g""",
+    "kept_targets": "select * from targets where pinned union all (select * from targets where not pinned order by priority desc, node_id limit 60)",
+    "changed": _CHANGED,
+    "reach": "select node_id, 0 as distance from changed union select e.src, r.distance + 1 from reach r join edges e on e.dst = r.node_id where r.distance < 8",
+    "near": "select node_id, min(distance)::int as distance from reach group by 1",
+    "thit": "select t.test, t.file, f.name, min(t.node_id) as first, min(distance) as d, min(t.line) as line, min(t.language) as language from tests_of t join near r on r.node_id = t.node_id join metrics f on f.node_id = t.node_id where not is_test and t.rank <= 25 group by 1, 2, 3",
+    "torun": "select test, file, min(line) as line, min(language) as language, min(d) as distance, string_agg(name, ',' order by name) filter (i <= 8) as covers from (select *, row_number() over (partition by test, file order by first, name) as i from thit) group by 1, 2",
+    "rep": """select c.node_id, f.name as function, c.path, f.start_line, f.end_line, coalesce((select string_agg(service, ',' order by service) from members m where m.file_id = f.file_id), '') as services, f.is_test or f.node_id in (select node_id from thits) as tested,
+  coalesce((select string_agg(test, ',' order by rank) from tests_of t where t.node_id = c.node_id and rank <= 25), '') as tested_by,
+  coalesce((select string_agg(distinct service, ',' order by service) from resolved r where r.target is not null and r.name = f.name and r.service not in (select service from members m where m.file_id = f.file_id)), '') as called_from from changed c join metrics f on f.node_id = c.node_id""",
+}
+
+
+def _targets(m):  # noqa: ANN001, ANN202
+    return P.test_targets(m, V.members(m, SERVICES), spans.changed_functions(m, m.tables["hunks"]))
+
+
+def _report(m):  # noqa: ANN001, ANN202
+    return P.changed_report(m, m.tables["hunks"], V.members(m, SERVICES), _resolved(m))
+
+
+@query("select * from kept_targets", **_TARGET_PARTS)
+def test_targets(m):  # noqa: ANN001, ANN201
+    return _targets(m)
+
+
+@query("select kind, count(*) as functions, count(*) filter (not covered) as untested from kept_targets group by 1", **_TARGET_PARTS)
+def target_summary(m):  # noqa: ANN001, ANN201
+    return P.target_summary(_targets(m))
+
+
+@query("select * from torun", **_TARGET_PARTS)
+def triggered_tests(m):  # noqa: ANN001, ANN201
+    return P.triggered_tests(m, m.tables["hunks"])
+
+
+@query("""select language, case language when 'rust' then 'cargo test -- ' || string_agg(test, ' ' order by distance, file, test) when 'go' then 'go test -run ' || chr(39) || '^(' || string_agg(test, '|' order by distance, file, test) || ')$' || chr(39) || ' ' || (select string_agg(d, ' ' order by d) from (select distinct './' || regexp_extract(file, '^(.*)/[^/]*$', 1) as d from torun t where t.language = 'go'))
+  when 'python' then 'pytest -k "' || string_agg(test, ' or ' order by distance, file, test) || '"' when 'typescript' then 'npx jest -t "' || string_agg(test, '|' order by distance, file, test) || '"' when 'cpp' then 'ctest -R ' || chr(39) || string_agg(test, '|' order by distance, file, test) || chr(39) end as command, count(*) as selects from torun where language <> 'csharp' group by language""", **_TARGET_PARTS)
+def test_commands(m):  # noqa: ANN001, ANN201
+    return P.test_commands(P.triggered_tests(m, m.tables["hunks"]))
+
+
+@query("select *, total_tests > 0 and tests_to_run * 5 >= total_tests * 4 as full_suite_advised from (select count(*) as tests_to_run, count(*) filter (distance = 0) as direct, (select count(*) from (select distinct file_id, caller from tcalls where caller <> '<top>')) as total_tests from torun)", **_TARGET_PARTS)
+def trigger_totals(m):  # noqa: ANN001, ANN201
+    return P.trigger_totals(P.triggered_tests(m, m.tables["hunks"]), T.coverage_totals(m))
+
+
+@query("select * from rep", **_TARGET_PARTS)
+def changed_report(m):  # noqa: ANN001, ANN201
+    return _report(m)
+
+
+@query("select path || '::' || function as id, start_line, end_line, path || '::' || function in (select id from kept_targets) as resolved from rep where tested_by = '' and node_id in (select node_id from metrics where not is_test) and function not in (select unnest(string_split(covers, ',')) from torun)", **_TARGET_PARTS)
+def coverage_gaps(m):  # noqa: ANN001, ANN201
+    return P.coverage_gaps(m, _report(m), P.triggered_tests(m, m.tables["hunks"]), _targets(m))
