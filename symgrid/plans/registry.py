@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..codemap import DEPS, SERVICES, from_tables
 from ..functions import scalars as S
-from ..operators import calls as C, coverage as T, graph as G, metrics as M, report as P, resolve as R, search, services as V, spans
+from ..operators import calls as C, coverage as T, graph as G, lookup as L, metrics as M, report as P, resolve as R, search, services as V, spans
 from ..oracle import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,3 +366,66 @@ def changed_report(m):  # noqa: ANN001, ANN201
 @query("select path || '::' || function as id, start_line, end_line, path || '::' || function in (select id from kept_targets) as resolved from rep where tested_by = '' and node_id in (select node_id from metrics where not is_test) and function not in (select unnest(string_split(covers, ',')) from torun)", **_TARGET_PARTS)
 def coverage_gaps(m):  # noqa: ANN001, ANN201
     return P.coverage_gaps(m, _report(m), P.triggered_tests(m, m.tables["hunks"]), _targets(m))
+
+
+@query("select kind, file_id, path, line, detail, narrowed from (select *, max(narrowed) over () as found from (select 'func' as kind, f.file_id, path, line, ret as detail, coalesce(owner = 'T5', false) or regexp_extract(path, '([^/]*)[.][^.]*$', 1) = 'T5' as narrowed from funcs f join files x on x.file_id = f.file_id where f.name = 'f5'\n  union all select 'const', c.file_id, path, line, ty, coalesce(ty = 'T5', false) from consts c join files x on x.file_id = c.file_id where c.name = 'f5' union all select 'type', t.file_id, path, line, kind, false from types t join files x on x.file_id = t.file_id where t.name = 'f5')) where narrowed or not found")
+def symbol_definitions(m):  # noqa: ANN001, ANN201
+    return L.definitions(m, "T5::f5")
+
+
+@query(f"select *, (select count(*) from hits) as total from hits order by path, line, kind, caller nulls first, qualifier nulls first limit {L.MOST_REFERENCES}", hits="select 'call' as kind, path, line, caller, qualifier from calls c join files x on x.file_id = c.file_id where name = 'f7' union all select case when reexport then 'reexport' else 'import' end, path, line, null, module from imports i join files x on x.file_id = i.file_id where list_contains(string_split(names_csv, ','), 'f7') or (names_csv = '' and regexp_extract(module, '([A-Za-z0-9_]*)$', 1) = 'f7')")
+def symbol_references(m):  # noqa: ANN001, ANN201
+    return L.references(m, "f7")
+
+
+_DEP_PARTS = {
+    "bysegs": "select distinct i.file_id, i.names, a.stem as word, a.target as dst from (select *, unnest(segs) as seg from imps) i join answers a on a.stem = i.seg and a.target <> i.file_id",
+    "bynames": "select distinct i.file_id, a.stem as symbol, a.target as dst from (select file_id, unnest(names) as nm from imps) i join answers a on a.stem = i.nm and a.target <> i.file_id",
+    "binds": "select file_id, dst, unnest(names) as symbol from bysegs union select file_id, dst, symbol from bynames",
+    "avail": "select * from binds union select b.file_id, b.dst, f.name from bysegs b join funcs f on f.file_id = b.dst where len(b.names) = 0",
+    "dcalls": "select distinct file_id, name, qualifier from calls c where name in (select name from funcs) and not exists (select 1 from funcs f where f.file_id = c.file_id and f.name = c.name)",
+    "dsegs": "select d.*, unnest(list_filter(string_split_regex(coalesce(qualifier, ''), '[^A-Za-z0-9_-]+'), lambda x: x <> '')) as seg from dcalls d",
+    "stems": "select file_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)[.][^.]*$', '\\1') as stem from files",
+    "dhits": """select distinct h.file_id, h.name, h.qualifier, h.dst from (select d.file_id, d.name, d.qualifier, s.file_id as dst from dsegs d join stems s on s.stem = d.seg union select d.file_id, d.name, d.qualifier, v.dst from dcalls d join avail v on v.file_id = d.file_id and v.symbol = d.name
+  union select d.file_id, d.name, d.qualifier, v.dst from dsegs d join avail v on v.file_id = d.file_id and v.symbol = d.seg union select d.file_id, d.name, d.qualifier, v.dst from dsegs d join answers a on a.stem = d.seg join avail v on v.file_id = a.target and v.symbol = d.name and v.dst <> a.target) h join funcs f on f.file_id = h.dst and f.name = h.name""",
+    "dep_symbols": "select file_id as src, dst, symbol from binds union select file_id, dst, word from bysegs where len(names) = 0 union select file_id, min(dst), name from dhits group by file_id, name, qualifier having count(*) = 1",
+}
+
+
+@query("select src, dst, count(*) as n_symbols, string_agg(symbol, ',' order by symbol) filter (i <= 20) as symbols from (select *, row_number() over (partition by src, dst order by symbol) as i from dep_symbols) group by 1, 2", **_DEP_PARTS)
+def file_dependencies(m):  # noqa: ANN001, ANN201
+    return L.dependencies(m)
+
+
+@query("select distinct name, case when n is null then 'excluded' else 'ambiguous' end as reason from (select d.name, h.n from dcalls d left join (select file_id, name, qualifier, count(*) as n from dhits group by 1, 2, 3) h on h.file_id = d.file_id and h.name = d.name and h.qualifier is not distinct from d.qualifier) where n is null or n > 1", **_DEP_PARTS)
+def unlinked_names(m):  # noqa: ANN001, ANN201
+    return L.file_edges(m)[1]
+
+
+_COUNTS = "select path, language, " + ", ".join(f"(select count(*) from {t} y where y.file_id = x.file_id) as {k}" for k, t in (("funcs", "funcs"), ("consts", "consts"), ("refs", "refs"), ("notes", "notes"), ("mods", "modules")))
+_COUNTS += ", coalesce((select sum(greatest(len(list_filter(string_split(names_csv, ','), lambda z: z <> '')), 1)) from imports y where y.file_id = x.file_id and reexport), 0)::bigint as exports from files x"
+
+
+@query(_COUNTS)
+def file_index(m):  # noqa: ANN001, ANN201
+    return L.file_counts(m)
+
+
+@query("select count(*) as files, " + ", ".join(f"sum({k})::bigint as {k}" for k in ("funcs", "consts", "refs", "notes", "mods", "exports")) + " from counted where path like 'svc1/%'", counted=_COUNTS)
+def index_totals(m):  # noqa: ANN001, ANN201
+    return L.totals(L.file_counts(m, "svc1/"))
+
+
+@query("select node_id, name, path, cx from metrics order by cx desc, node_id limit 40 offset 80")
+def metrics_page(m):  # noqa: ANN001, ANN201
+    return L.page(M.metrics(m).select("node_id", "name", "path", "cx"), F.desc("cx"), "node_id", offset=80, limit=40, default=40)
+
+
+@query("select x.file_id, path, 'ambiguous' as how from files x where path like '%.py'")
+def file_lookup(m):  # noqa: ANN001, ANN201
+    return L.find_file(m, ".py")
+
+
+@query("select name, kind, path from (select *, row_number() over (order by score, r, name) as rn from (select *, row_number() over (partition by lower(name) order by score, r, name, path) as one from (select *, case when lower(name) = 'k_12' then 0 when contains(lower(name), 'k_12') or contains('k_12', lower(name)) then 1000 + least(abs(length(name) - 4), 999) when levenshtein(lower(name), 'k_12') <= 2 then 2000 + levenshtein(lower(name), 'k_12') end as score from (select 0 as r, 'type' as kind, name, path from types t join files x on x.file_id = t.file_id union all select 1, 'func', name, path from funcs f join files x on x.file_id = f.file_id union all select 2, 'const', name, path from consts c join files x on x.file_id = c.file_id union all select 3, 'import', nm, path from (select file_id, unnest(list_filter(string_split(names_csv, ','), lambda z: z <> '')) as nm from imports) i join files x on x.file_id = i.file_id)) where score is not null) where one = 1) where rn <= 8")
+def suggestions(m):  # noqa: ANN001, ANN201
+    return L.suggest(m, "K_12")
