@@ -23,10 +23,8 @@ def span_of(m: CodeMap) -> DataFrame:
 
 
 def module_frames(m: CodeMap) -> DataFrame:
-    """``file_id, node_id``: a frame past the last function of each file that calls from its top level."""
-    n = m.funcs.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    top = m.calls.where(F.col("caller") == TOP).select("file_id").distinct()
-    return top.join(n, "file_id", "left").select("file_id", (F.col("file_id") * 100000 + F.coalesce("n", F.lit(0))).alias("node_id"))
+    """``file_id, node_id``: a frame for each file that calls from its top level; its number is that of no function."""
+    return m.calls.where(F.col("caller") == TOP).select("file_id").distinct().select("file_id", (-1 - F.col("file_id")).alias("node_id"))
 
 
 def nodes(m: CodeMap) -> DataFrame:

@@ -122,7 +122,7 @@ def deepest_chains(nodes: DataFrame, edges: DataFrame, member: DataFrame, most:
     longest = walk.agg(F.max("depth")).first()[0] or 0
     for _ in range(longest):
         walk = cut(walk.join(step, "last", "left").select("root", "depth", F.coalesce("next", "last").alias("last"), F.when(F.col("next").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("next"))).alias("chain")))
-    return walk.select("root", "depth", F.array_join(F.transform("chain", lambda x: x.cast("string")), ",").alias("chain"))
+    return walk.select("root", "depth", F.array_join(F.transform("chain", lambda x: x.cast("string")), ",").alias("chain")).orderBy(F.desc("depth"), "root")
 
 
 def flame(edges: DataFrame, roots: DataFrame, depth: int = FLAME_DEPTH, nodes: int = FLAME_NODES) -> DataFrame:

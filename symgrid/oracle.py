@@ -17,7 +17,7 @@ TEST_NAME = lambda n: f"(regexp_matches(lower(ltrim({n}, '_')), '^test_|_test$|_
 
 PARTS: dict[str, str] = {
     **TABLE_SQL,
-    "frames": "select t.file_id, t.file_id * 100000 + coalesce(n, 0) as node_id from (select distinct file_id from calls where caller = '<top>') t left join (select file_id, count(*) as n from funcs group by 1) f on t.file_id = f.file_id",
+    "frames": "select distinct file_id, -1 - file_id as node_id from calls where caller = '<top>'",
     "nodes": "select node_id, file_id, name, false as is_module from funcs union all select node_id, file_id, '<top>', true from frames",
     "aliases": f"""select distinct file_id, alias from (select file_id, {_STEM("path")} as alias from files union all select file_id, unnest(string_split({_DIR("path")}, '/')) from files union all select file_id, name from modules union all select file_id, name from types) where alias <> ''
   and not (alias in ('src', 'pkg', 'internal', 'cmd', 'app', 'lib', 'test', 'tests', 'include') and alias not in (select 'none'))""",

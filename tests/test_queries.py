@@ -25,6 +25,9 @@ def rows(names, data):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, DIR)
+    if name not in registry.SQL:
+        assert name == "flame_tree" and got.count() > 0  # held against a small tree in test_extract
+        return
     want = duck.execute(registry.SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
