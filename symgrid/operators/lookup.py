@@ -157,3 +157,70 @@ def suggest(m: CodeMap, want: str, most: int = 8) -> DataFrame:
         all_ = one if all_ is None else all_.unionByName(one)
     best = all_.groupBy("low").agg(F.min("s").alias("s")).select("s.*")
     return best.orderBy("score", "r", "name").limit(most).select("name", "kind", "path")
+
+
+def qualifier_evidence(m: CodeMap, qualifier: str, shown: int = 3) -> DataFrame:
+    """``path, line, name, sites``: the first calls and uses under a qualifier, and how many there are in all."""
+    from ..functions.predicates import qualifier_under
+
+    c = m.calls.select("file_id", "line", "name", "qualifier").unionByName(m.uses.select("file_id", "line", "name", "qualifier"))
+    hit = c.where(F.coalesce(qualifier_under("qualifier", F.lit(qualifier)), F.lit(False))).join(m.files.select("file_id", "path"), "file_id").select("path", "line", "name")
+    n = hit.agg(F.count(F.lit(1)).alias("sites"))
+    return hit.orderBy("path", "line", "name").limit(shown).crossJoin(F.broadcast(n))
+
+
+def qualifier_evidence_of_miss(m: CodeMap, symbol: str) -> DataFrame:
+    """``searched, suggestion, kind, sites``: what a lookup that found nothing can go on with; one row at least."""
+    q = m.spark.range(1).select(split_qualified(F.lit(symbol)).alias("q")).first()["q"]
+    s = suggest(m, q["name"]).select(F.col("name").alias("suggestion"), "kind")
+    n = qualifier_evidence(m, q["qualifier"]).agg(F.coalesce(F.max("sites"), F.lit(0)).alias("sites")) if q["qualifier"] else m.spark.range(1).select(F.lit(0).cast("long").alias("sites"))
+    one = m.spark.range(1).select(F.lit("func, const, type, call, use, import, reexport").alias("searched")).crossJoin(n)
+    return one.join(s, F.lit(True), "left").select("searched", "suggestion", "kind", "sites")
+
+
+def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that nothing but themselves calls."""
+    called = edges.where("src <> dst").select(F.col("dst").alias("node_id")).distinct()
+    return nodes.join(called, "node_id", "left_anti")
+
+
+def edge_sites(m: CodeMap, nodes: DataFrame, edges: DataFrame, member: DataFrame, most: int = 60) -> DataFrame:
+    """``src, dst, symbol, caller, path``: calls between services with both ends, each symbol of an edge once, at most ``most`` of an edge.
+
+    A function in several services counts for each; of several callers of a symbol the first by path and name.
+    """
+    at = nodes.select("node_id", "file_id", "name").join(member.select("file_id", "path", "service"), "file_id")
+    a = at.select(F.col("node_id").alias("src"), F.col("service").alias("s"), F.col("name").alias("caller"), "path")
+    b = at.select(F.col("node_id").alias("dst"), F.col("service").alias("d"), F.col("name").alias("symbol"))
+    hit = edges.select("src", "dst").join(a, "src").join(b, "dst").where("s <> d")
+    one = hit.groupBy("s", "d", "symbol").agg(F.min(F.struct("path", "caller")).alias("x"))
+    r = one.withColumn("i", F.row_number().over(Window.partitionBy("s", "d").orderBy("symbol")))
+    return r.where(F.col("i") <= most).select(F.col("s").alias("src"), F.col("d").alias("dst"), "symbol", "x.caller", "x.path")
+
+
+def complexity_filter(table: DataFrame, name: str = "", arities: tuple[str, ...] = (), low: int = 1, high: int = 10, tests: bool = True) -> DataFrame:
+    """Rows of a complexity table by part of the name or path, arities, range of bands, with or without tests."""
+    t = table.where(F.col("band").between(low, high))
+    if name:
+        t = t.where(F.contains(F.lower("name"), F.lit(name.lower())) | F.contains(F.lower("path"), F.lit(name.lower())))
+    if arities:
+        t = t.where(F.col("arity").isin(*arities))
+    return t if tests else t.where("not is_test")
+
+
+def by_band(table: DataFrame) -> DataFrame:
+    """``band, functions, tests, greatest``: a complexity table by band."""
+    return table.groupBy("band").agg(F.count(F.lit(1)).alias("functions"), F.count(F.when(F.col("is_test"), 1)).alias("tests"), F.max("cx").alias("greatest"))
+
+
+def fold_hot(nodes: DataFrame, **views: DataFrame) -> DataFrame:
+    """``node_id, name`` and the rank in each view (best first, node_id in ``views``); functions of no view are left out.
+
+    ``badge`` names the views in their order.
+    """
+    all_ = None
+    for i, (k, v) in enumerate(views.items()):
+        one = v.select("node_id", F.col("rank").cast("int"), F.lit(k).alias("view"), F.lit(i).alias("i"))
+        all_ = one if all_ is None else all_.unionByName(one)
+    g = all_.groupBy("node_id").agg(*[F.min(F.when(F.col("view") == k, F.col("rank"))).alias(k) for k in views], F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("i", "view"))), lambda x: x["view"]), "+").alias("badge"))
+    return nodes.select("node_id", "name").join(g, "node_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..codemap import CodeMap
 from ..functions.predicates import is_test_path
@@ -85,3 +85,15 @@ def all_lints(m: CodeMap, degrees: DataFrame) -> DataFrame:
 def lints(m: CodeMap, degrees: DataFrame, most: int = MOST_LINTS) -> DataFrame:
     """The findings worst first: warnings, then by rule, path, line and node, at most ``most``."""
     return all_lints(m, degrees).orderBy(F.desc("severity"), "rule", "path", "line", "node_id", "value").limit(most)
+
+
+def rule_catalogue(spark: SparkSession) -> DataFrame:
+    """``rule, severity``."""
+    return spark.createDataFrame(sorted(RULES.items()), "rule string, severity string")
+
+
+def lints_of(found: DataFrame, rule: str) -> DataFrame:
+    """Findings of one rule; an unknown one is an error."""
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule!r}; one of {', '.join(RULES)}")
+    return found.where(F.col("rule") == rule)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..codemap import DEPS, SERVICES, from_tables
 from ..functions import scalars as S
 from ..operators import calls as C, coverage as T, graph as G, lookup as L, metrics as M, report as P, resolve as R, search, services as V, spans
 from ..oracle import build
+from ..schema import extensions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -429,3 +430,73 @@ def file_lookup(m):  # noqa: ANN001, ANN201
 @query("select name, kind, path from (select *, row_number() over (order by score, r, name) as rn from (select *, row_number() over (partition by lower(name) order by score, r, name, path) as one from (select *, case when lower(name) = 'k_12' then 0 when contains(lower(name), 'k_12') or contains('k_12', lower(name)) then 1000 + least(abs(length(name) - 4), 999) when levenshtein(lower(name), 'k_12') <= 2 then 2000 + levenshtein(lower(name), 'k_12') end as score from (select 0 as r, 'type' as kind, name, path from types t join files x on x.file_id = t.file_id union all select 1, 'func', name, path from funcs f join files x on x.file_id = f.file_id union all select 2, 'const', name, path from consts c join files x on x.file_id = c.file_id union all select 3, 'import', nm, path from (select file_id, unnest(list_filter(string_split(names_csv, ','), lambda z: z <> '')) as nm from imports) i join files x on x.file_id = i.file_id)) where score is not null) where one = 1) where rn <= 8")
 def suggestions(m):  # noqa: ANN001, ANN201
     return L.suggest(m, "K_12")
+
+
+@query("select * from (values " + ", ".join(f"('{r}', '{v}')" for r, v in sorted(M.RULES.items())) + ") v(rule, severity)")
+def rule_catalogue(m):  # noqa: ANN001, ANN201
+    return M.rule_catalogue(m.spark)
+
+
+@query("select file_id, path, case regexp_extract(path, '[.]([^.]*)$', 1) when 'rs' then 'rust' when 'py' then 'python' when 'ts' then 'typescript' when 'go' then 'go' when 'cpp' then 'cpp' when 'cs' then 'csharp' end as language from files")
+def files_by_extension(m):  # noqa: ANN001, ANN201
+    ext = extensions(m.spark).withColumnRenamed("language", "named")
+    return m.files.withColumn("ext", F.lower(S.extension("path"))).join(F.broadcast(ext), "ext").select("file_id", "path", F.col("named").alias("language"))
+
+
+@query("select node_id, name from nodes where node_id not in (select dst from edges where src <> dst)")
+def root_nodes(m):  # noqa: ANN001, ANN201
+    return L.roots(C.nodes(m), C.call_edges(m)).select("node_id", "name")
+
+
+@query(f"select band, count(*) as functions, count(*) filter (is_test) as tests, max(cx) as greatest from (select cx, is_test, {_BAND} as band from metrics order by cx desc, node_id limit {M.MOST_COMPLEX}) group by 1")
+def complexity_by_band(m):  # noqa: ANN001, ANN201
+    return L.by_band(M.complexity_table(m))
+
+
+@query(f"select * from (select node_id, name, path, cx, {_BAND} as band, case params when 0 then 'niladic' when 1 then 'monadic' when 2 then 'dyadic' else 'variadic' end as arity, is_test from metrics order by cx desc, node_id limit {M.MOST_COMPLEX}) where band between 3 and 6 and arity in ('monadic', 'dyadic') and not is_test and (contains(lower(name), 'svc1') or contains(lower(path), 'svc1'))")
+def complexity_filtered(m):  # noqa: ANN001, ANN201
+    return L.complexity_filter(M.complexity_table(m), "SVC1", ("monadic", "dyadic"), 3, 6, tests=False)
+
+
+@query("select src, dst, symbol, caller, path from (select *, row_number() over (partition by src, dst order by symbol) as i from (select a.service as src, b.service as dst, y.name as symbol, x.name as caller, a.path, row_number() over (partition by a.service, b.service, y.name order by a.path, x.name) as one from edges e join nodes x on x.node_id = e.src join nodes y on y.node_id = e.dst join members a on a.file_id = x.file_id join members b on b.file_id = y.file_id where a.service <> b.service) where one = 1) where i <= 60")
+def service_edge_sites(m):  # noqa: ANN001, ANN201
+    return L.edge_sites(m, C.nodes(m), C.call_edges(m), V.members(m, SERVICES))
+
+
+@query("select path, line, name, (select count(*) from hits) as sites from hits order by path, line, name limit 3", hits="select path, line, name from calls c join files x on x.file_id = c.file_id where qualifier like 'std::%' or qualifier = 'std'")
+def qualifier_sites(m):  # noqa: ANN001, ANN201
+    return L.qualifier_evidence(m, "STD")
+
+
+@query("select file_id, path from files where file_id not in (select file_id from members)")
+def unassigned_files(m):  # noqa: ANN001, ANN201
+    return m.files.select("file_id", "path").join(V.members(m, SERVICES).select("file_id").distinct(), "file_id", "left_anti")
+
+
+_RANKED = {
+    "v1": "select f.node_id, row_number() over (order by callers desc, call_sites desc, path, f.node_id) as rank from degrees d join nodes f on f.node_id = d.node_id join files x on x.file_id = f.file_id where callers > 0",
+    "v2": "select d.node_id, row_number() over (order by callees desc, d.node_id) as rank from degrees d join nodes f on f.node_id = d.node_id join files x on x.file_id = f.file_id where callees > 0",
+    "v3": "select node_id, row_number() over (order by cx desc, node_id) as rank from metrics where not is_test",
+}
+
+
+@query("select n.node_id, n.name, v1.rank::int as called, v2.rank::int as wide, v3.rank::int as complex, concat_ws('+', case when v1.rank is not null then 'called' end, case when v2.rank is not null then 'wide' end, case when v3.rank is not null then 'complex' end) as badge from nodes n left join (select * from v1 where rank <= 25) v1 on v1.node_id = n.node_id left join (select * from v2 where rank <= 25) v2 on v2.node_id = n.node_id left join (select * from v3 where rank <= 25) v3 on v3.node_id = n.node_id where v1.rank is not null or v2.rank is not null or v3.rank is not null", **_RANKED)
+def hot_functions(m):  # noqa: ANN001, ANN201
+    ranked = lambda df, *o: df.withColumn("rank", F.row_number().over(Window.orderBy(*o)))
+    n = C.nodes(m)
+    d = C.degrees(n, C.call_edges(m)).join(n, "node_id").join(m.files.select("file_id", "path"), "file_id")
+    # 25 rows each are ranked
+    called = d.where("callers > 0").orderBy(F.desc("callers"), F.desc("call_sites"), "path", "node_id").limit(25)
+    wide = d.where("callees > 0").orderBy(F.desc("callees"), "node_id").limit(25)
+    complex_ = M.metrics(m).where("not is_test").orderBy(F.desc("cx"), "node_id").limit(25)
+    return L.fold_hot(n, called=ranked(called, F.desc("callers"), F.desc("call_sites"), "path", "node_id"), wide=ranked(wide, F.desc("callees"), "node_id"), complex=ranked(complex_, F.desc("cx"), "node_id"))
+
+
+@query("""select (select count(distinct path) from hunks) as changed_files, (select count(distinct path) from hunks where path not in (select path from members)) as unassigned_files, (select count(*) from rep) as changed_functions, (select count(*) from rep where not tested) as untested,
+  (select count(distinct service) from walk) as services_to_test, (select count(*) from (select 1 from (select distinct service, name from rcalls where reason in ('ambiguous', 'no-evidence')) limit 100)) as unresolved_calls, (select count(*) from sites) as crossings, (select count(*) from sites where remote_path is null) as unmatched_crossings, (select count(*) from trung where rung = -1) as external_test_calls""",
+    starts=_CHANGED_SV, walk="select service, [service] as way from starts union select e.src, list_append(w.way, e.src) from walk w join evident_edges e on e.dst = w.way[-1] where not list_contains(w.way, e.src)", **_TARGET_PARTS)
+def change_counts(m):  # noqa: ANN001, ANN201
+    member = V.members(m, SERVICES)
+    r = _resolved(m)
+    changed = m.derived["members"].join(m.tables["hunks"].select("path").distinct(), "path", "left_semi").select("service").distinct()
+    return P.change_counts(m, m.tables["hunks"], member, _report(m), R.impact(R.overlay(m.derived["symbols"], DEPS), changed), R.unresolved(m, r), R.crossing_sites(m, member))
