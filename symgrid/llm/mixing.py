@@ -110,6 +110,6 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 SQL = f"""with size as (select source, coalesce(sum(length(text)), 0)::bigint as chars, case source {" ".join(f"when '{k}' then {v}::double" for k, v in WEIGHTS.items())} else 1::double end as weight from documents group by source),
 rate as (select source, case when chars > 0 then floor((sum(chars) over ())::double * (weight / (sum(case when chars > 0 then weight end) over ())) / chars::double * {UNIT}.0) else {UNIT} end::bigint as rate,
   (('0x' || substr(md5('0:' || coalesce(source, '')), 1, 12))::bigint % {UNIT}) as off from size),
-run as (select doc_id, d.source, rate, off + sum(rate) over (partition by d.source order by doc_id rows unbounded preceding) as upto from documents d join rate r on d.source is not distinct from r.source),
-n as (select doc_id, source, (upto::bigint // {UNIT} - (upto - rate)::bigint // {UNIT}) as k from run)
-select doc_id, source, unnest(range(1, k + 1))::bigint as copy from n where k > 0"""
+run as (select d.*, rate, off + sum(rate) over (partition by d.source order by doc_id rows unbounded preceding) as upto from documents d join rate r on d.source is not distinct from r.source),
+n as (select *, (upto::bigint // {UNIT} - (upto - rate)::bigint // {UNIT}) as k from run)
+select doc_id, text, lang, source, n_chars, unnest(range(1, k + 1))::bigint as copy from n where k > 0"""

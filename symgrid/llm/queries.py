@@ -39,7 +39,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), mixing.WEIGHTS, copy_col="copy").select("doc_id", "source", "copy")
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.WEIGHTS, copy_col="copy")
 
 
 def op9_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
