@@ -54,8 +54,8 @@ def imported_names(m: CodeMap, hops: int = HOPS, only: DataFrame | None = None)
     The last segment of a module path decides if any other file answers to it, else all segments do;
     an imported name that is itself a file counts, too. An import without names brings in all
     functions of its targets. Bindings are followed through ``hops`` facades, each step materialised,
-    until no file is new. With ``only`` (name) just those names are looked at: a facade passes a
-    name on under the name it has, so no other can matter.
+    until no file is new. With ``only`` (name) just those names are looked at, as a facade passes a
+    name on under the name it has, and just targets that define the name or pass it on.
     """
     wanted = (lambda df: df) if only is None else (lambda df: df.join(only.select("name").distinct(), "name", "left_semi"))
     s = m.files.select(F.col("file_id").alias("target"), stem("path").alias("stem"), F.element_at(F.split(parent_dir("path"), "/"), -1).alias("dir"))
@@ -75,6 +75,9 @@ def imported_names(m: CodeMap, hops: int = HOPS, only: DataFrame | None = None)
     has = wanted(m.funcs.select(F.col("file_id").alias("target"), "name").distinct())
     whole = hit.where(F.size("names") == 0).join(has, "target").select("file_id", "name", "target")
     bound = cut(named.select("file_id", "name", "target").unionByName(whole).distinct())
+    if only is not None:  # a target that neither defines the name nor passes it on leads nowhere
+        live = has.select("target", "name").unionByName(bound.select(F.col("file_id").alias("target"), "name")).distinct()
+        bound = cut(bound.join(live, ["target", "name"], "left_semi"))
     size = bound.count()
     for _ in range(hops):
         via = bound.select(F.col("file_id").alias("target"), "name", F.col("target").alias("next"))
