@@ -21,9 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import components, cut, written
+from .simhash import _spread
 
 WINDOW = 64
 LEVELS = 1001
@@ -34,8 +35,10 @@ CUTOFF = 0.3
 #: Pairs are reported from this score on. Of copies of sf0.1's texts with words replaced, those of
 #: word-3-gram Jaccard 0.8 to 0.9 reach it in 97 % of cases, of 119,997 pairs without a common feature none.
 MIN_SCORE = 20
-#: Pairs are looked for from this part of the share that their score needs, as bits scatter.
+#: Of the share that its score would need, a pair has this part at least, but for chance, as bits scatter. The search leaves nothing out by it.
 SLACK = 0.75
+#: Texts of a feature that are compared at once; filters in a block.
+GROUP, TILE = 2048, 512
 _CHUNK = 1 << 18
 _G = np.array([0, *(round(c * np.log2(c) * 65536) for c in range(1, 66))], np.int32)
 
@@ -166,40 +169,119 @@ def feature_table(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", tex
     return own.mapInArrow(run, "id long, xk long, features array<long>, digest binary")
 
 
-def _scores(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
-    """Scores of pairs of digests; those of one filter each in one step."""
-    out = np.zeros(len(xs))
-    size = FILTER_BITS // 8
-    one = np.array([len(x) == size and len(y) == size for x, y in zip(xs, ys)], bool)
-    if one.any():
-        at = np.flatnonzero(one)
-        x, y = (np.frombuffer(b"".join([z[i] for i in at]), np.uint64).reshape(len(at), -1) for z in (xs, ys))
-        a, b, common = (np.bitwise_count(z).sum(1).astype(float) for z in (x, y, x & y))
-        most, chance = np.minimum(a, b), a * b / FILTER_BITS
-        floor = CUTOFF * (most - chance) + chance
-        share = np.clip(np.where(most > floor, (common - floor) / np.maximum(most - floor, 1e-9), 0), 0, 1)
-        out[at] = 100 * share
-    for i in np.flatnonzero(~one):
-        out[i] = compare(*(np.frombuffer(z[i], np.uint8).reshape(-1, size) for z in (xs, ys)))
-    return out
+def _tile(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits, first filter of each digest, bits set and features of each filter."""
+    starts = np.cumsum([0, *(len(x) // (FILTER_BITS // 8) for x in digests[:-1])])
+    packed = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, FILTER_BITS // 8)
+    return np.unpackbits(packed, axis=1).astype(np.float32), starts, np.bitwise_count(packed.view(np.uint64)).sum(-1).astype(float), _sizes(packed)
 
 
-def _score_batches(least: float):
+def _tile_scores(x: tuple, y: tuple, first: np.ndarray) -> np.ndarray:
+    """Scores as of ``compare`` of each digest of ``x`` with each of ``y``; ``first`` tells which pairs have the smaller one in ``x``."""
+    (bx, sx, a, nx), (by, sy, b, ny) = x, y
+    common, a, b = (bx @ by.T).astype(float), a[:, None], b[None, :]
+    chance, most = a * b / FILTER_BITS, np.minimum(a, b)
+    floor = CUTOFF * (most - chance) + chance
+    share = np.where(most > floor, (common - floor) / np.maximum(most - floor, 1e-9), 0)
+    held = np.clip(share, 0, 1) * np.minimum(nx[:, None], ny[None, :])
+    own = np.add.reduceat(np.maximum.reduceat(held, sy, axis=1), sx, axis=0) / np.add.reduceat(nx, sx)[:, None]
+    other = np.add.reduceat(np.maximum.reduceat(held, sx, axis=0), sy, axis=1) / np.add.reduceat(ny, sy)[None, :]
+    return 100 * np.where(first, own, other)
+
+
+def _meet(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray | bool:
+    """Which of the sets ``x`` have a member in common with which of ``y``."""
+    u, v = (np.concatenate(z) for z in (x, y))
+    both = np.intersect1d(u, v)
+    if not len(both):
+        return False
+    out = []
+    for z, values in ((x, u), (y, v)):
+        m = np.zeros((len(z), len(both)), np.float32)
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        held = both[at] == values
+        m[np.repeat(np.arange(len(z)), [len(q) for q in z])[held], at[held]] = 1
+        out.append(m)
+    return out[0] @ out[1].T > 0
+
+
+def _matches(cell: np.ndarray, split: np.ndarray, part: np.ndarray, digests: list[bytes], early: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell that score ``least`` and have no earlier group in common; in a cell of two parts, those of a row of each."""
+    size = FILTER_BITS // 8
+    sums = [float(_sizes(np.frombuffer(x, np.uint8).reshape(-1, size)).sum()) for x in digests]
+    rank = np.empty(len(digests), np.int64)
+    rank[sorted(range(len(digests)), key=lambda i: (sums[i], digests[i]))] = np.arange(len(digests))
+    ends, held = [0], 0
+    for i, x in enumerate(digests):  # tiles of so many filters
+        held += len(x) // size
+        if held >= TILE or i == len(digests) - 1:
+            ends.append(i + 1)
+            held = 0
+    out = []
+    for k, (u, v) in enumerate(zip(ends, ends[1:])):
+        x = _tile(digests[u:v])
+        for s, t in zip(ends[: k + 1], ends[1:]):
+            if cell[t - 1] != cell[u] and s != u:
+                continue  # rows are in the order of cells
+            y = x if s == u else _tile(digests[s:t])
+            scores = _tile_scores(x, y, rank[u:v, None] < rank[None, s:t])
+            may = (cell[u:v, None] == cell[None, s:t]) & (~split[u:v, None] | (part[u:v, None] != part[None, s:t])) & (np.arange(u, v)[:, None] > np.arange(s, t)[None, :])
+            i, j = np.nonzero(may & (scores >= least - 1e-6) & ~np.asarray(_meet(early[u:v], early[s:t])))
+            sure = scores[i, j] >= least + 1e-6
+            for q in np.flatnonzero(~sure):  # sums of another order may differ in the last digit
+                sure[q] = compare(*(np.frombuffer(z, np.uint8).reshape(-1, size) for z in (digests[u + i[q]], digests[s + j[q]]))) >= least
+            out.append((u + i[sure], s + j[sure]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _match_batches(least: float):
+    """Reads rows in the order of cells; whole cells are compared, small ones together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
         for b in batches:
-            scores = np.round(_scores(b.column(2).to_pylist(), b.column(3).to_pylist()), 3)
-            take = pa.array(np.flatnonzero(scores >= least))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)], ["a", "b"])
+            if not b.num_rows:
+                continue
+            key = b.select(["g", "lo", "hi"])
+            g, lo, hi = (c.to_numpy() for c in key.columns)
+            other = np.flatnonzero((g != g[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+            at = int(other[-1]) + 1 if len(other) else 0  # where the last cell begins
+            before = rest[-1].slice(rest[-1].num_rows - 1).select(["g", "lo", "hi"]).to_pylist() if rest else None
+            if before and at == 0 and before != key.slice(0, 1).to_pylist():
+                yield from work(rest)
+                rest = []
+            if at:
+                yield from work([*rest, b.slice(0, at)])
+                rest = []
+            rest.append(b.slice(at))
+        if rest:
+            yield from work(rest)
+
+    def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        g, lo, hi, part, node = (t.column(k).to_numpy() for k in ("g", "lo", "hi", "part", "node"))
+        new = np.flatnonzero((np.diff(g) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+        cell = np.zeros(len(g), np.int64)
+        cell[new] = 1
+        cell = np.cumsum(cell)
+        begin = 0
+        for end in [*new.tolist(), len(g)]:
+            if end - begin < TILE // 2 and end < len(g):
+                continue
+            own = slice(begin, end)
+            digests, early = (t.column(k).slice(begin, end - begin).to_pylist() for k in ("digest", "early"))
+            i, j = _matches(cell[own], (lo != hi)[own], part[own], digests, [np.array(x, np.int64) for x in early], least)
+            ids, row = np.unique(node[own], return_inverse=True)
+            n = np.bincount(row[i], minlength=len(ids)) + np.bincount(row[j], minlength=len(ids))
+            root = _spread(np.arange(len(ids)), row[i], row[j])
+            at = np.flatnonzero(n)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]]), pa.array(n[at])], ["node", "root", "n"])
+            begin = end
 
     return run
 
 
-def _links(pairs: DataFrame, digests: DataFrame, min_score: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose digests score ``min_score``."""
-    both = pairs.join(digests.withColumnsRenamed({"node": "a", "digest": "da"}), "a").join(digests.withColumnsRenamed({"node": "b", "digest": "db"}), "b")
-    return cut(both.select("a", "b", "da", "db").mapInArrow(_score_batches(min_score), "a long, b long"))
-
-
 def similar_documents(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links``: every document that has a copy or a similar document, and its class.
 
@@ -207,17 +289,15 @@ def similar_documents(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str
     ``min_score`` (a digest of one or two features can score by chance alone); classes are the connected
     components of all links, named by their least id. Texts that are equal are in one class, also
     those of under 64 bytes, which have no feature and no other link. ``n_links`` is the number of
-    other texts that the search compared with this one and found similar; 0 means exact copies only.
+    other texts linked with this one, all of them; 0 means exact copies only.
     Null, empty and blank texts and null ids are left out; repeated rows of one id and text are one;
-    of two texts under one id each has its class, so that the id may have two rows. Other columns
-    are ignored; an empty table gives no rows.
-
-    A score needs its share of the smaller digest's features in common, of which SLACK is asked for.
-    With features ordered from rare to common, a pair then shares one of the smaller's first, so the
-    last are not looked up; features of a single text drop out before. Of the texts with a feature,
-    each is first compared with the largest of them and the smallest that looks it up, which is as
-    many pairs as there are features. Only pairs that these links leave in different classes are then
-    compared as well, so no link between classes is lost and no group is written out in pairs.
+    of two texts under one id each has its class, so that the id may have two rows (one, with the
+    larger number, if both are in one class). Other columns are ignored; an empty table gives no rows.
+
+    All texts of a feature are compared with each other, by digests in blocks. Features of a single
+    text drop out, and of features that the same texts have one is taken, as the pairs are the same.
+    A pair counts in the first of its groups, so that no pairs are written, only numbers and forests of
+    links. A group of more than GROUP texts is cut into parts, each compared with itself and each other.
     """
     # rows of one text are one node; nodes are numbered as written, which makes their numbers short
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~F.col(text_col).cast("string").rlike(r"^\s*$"))
@@ -227,31 +307,18 @@ def similar_documents(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str
     again = rows.select("row", "xk").join(texts.where("copies > 1"), "xk").where("row <> node").select("row")
     n = F.size("features")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    single = rows.select("row", "features").where(n > 0).join(again, "row", "left_anti").select(F.col("row").alias("node"), n.alias("n"), F.explode("features").alias("f")).repartition(parts, "f")
-    per = single.groupBy("f").agg(F.count("node").alias("df"), F.max(F.struct("n", "node")).alias("hub")).where("df > 1")
-    shared = single.join(per, "f").select("f", "node", "n", "df", F.col("hub.node").alias("hub"))
-    w = Window.partitionBy("node")
-    ranked = shared.withColumns({"i": F.row_number().over(w.orderBy("df", "f")), "m": F.count(F.lit(1)).over(w)})
-    place, need = F.col("i") + F.col("n") - F.col("m"), F.greatest(F.ceil(F.col("n") * (SLACK * min_score / 100)), F.lit(1))
-    ranked = written(ranked.select("f", "node", "n", "hub", (place <= F.col("n") - need + 1).alias("looks")), "ranked")
-    looks = ranked.where("looks")
-    small = looks.groupBy("f").agg(F.min(F.struct("n", "node")).alias("least"))
-    star = looks.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(ranked.join(small, "f").where(F.struct("n", "node") > F.col("least")).select(F.col("least.node").alias("a"), F.col("node").alias("b")))
-    digests = rows.select(F.col("row").alias("node"), "digest")
-    first = _links(star.distinct(), digests, min_score)
-    labels = cut(components(first, "a", "b"))
-    named = ranked.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    count = named.groupBy("f", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("f").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    mixed = named.join(count.select("f", "main"), "f")
-    mixed = written(mixed.select("f", "node", "n", "looks", "label", (F.col("label") == F.col("main")).alias("main")), "mixed")
-    a = mixed.where("looks").select("f", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("main").alias("ma"))
-    b = mixed.select("f", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("main").alias("mb"))
-    # one of the two is outside the main class of the feature
-    across = a.where("not ma").join(b, "f").unionByName(a.where("ma").join(b.where("not mb"), "f"))
-    across = across.where((F.col("la") != F.col("lb")) & (F.struct("na", "a") < F.struct("nb", "b"))).select("a", "b").distinct()
-    links = first.unionByName(_links(across, digests, min_score))
-    final = components(links, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    single = rows.select("row", "features").where(n > 0).join(again, "row", "left_anti").select(F.col("row").alias("node"), F.explode("features").alias("f")).repartition(parts, "f")
+    per = single.groupBy("f").agg(F.count("node").alias("df"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")).where("df > 1")
+    shared = cut(single.join(per, "f").select("node", "df", "s", "t").distinct())  # texts and groups, a group for features of the same texts
+    one = cut(shared.select("df", "s", "t").distinct().withColumns({"g": F.monotonically_increasing_id(), "cells": F.ceil(F.col("df") / GROUP).cast("int")}))
+    owned = shared.join(one, ["df", "s", "t"]).groupBy("node").agg(F.collect_list(F.struct("g", "cells")).alias("own"))
+    placed = owned.join(rows.select(F.col("row").alias("node"), "digest"), "node").select("*", F.explode("own").alias("at")).select("node", "digest", "own", "at.*")
+    placed = placed.withColumns({"early": F.filter("own.g", lambda x: x < F.col("g")), "part": F.pmod(F.xxhash64("node", F.lit(2)), F.col("cells")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("cells") - 1))})
+    placed = placed.select("g", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "digest", "early")
+    placed = placed.repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    links = cut(placed.mapInArrow(_match_batches(min_score), "node long, root long, n long"))
+    final = components(links, "node", "root")
+    degree = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     classed = texts.join(final, "node", "left").where("label is not null or copies > 1").join(degree, "node", "left")
     classed = classed.select("xk", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     member = cut(rows.select("id", "xk").distinct().join(classed, "xk").select("id", "label", "n_links"))

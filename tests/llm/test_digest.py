@@ -159,3 +159,39 @@ def test_recall_of_near_copies_by_their_words(spark):
     got = found(D.similar_documents(documents(spark, list(enumerate(texts)))))
     assert len(near) >= 30 and len(near & got) >= 0.9 * len(near)
     assert all(i - c <= 1 and c % 2 == 0 for i, c in got)  # unrelated texts do not meet
+
+
+def counts(links):
+    return Counter(t for pair in links for t in pair)
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    rng, texts = random.Random(17), []
+    for n in (60, 200, 900):
+        w = prose(rng, n).split()
+        for _ in range(14):  # each copy departs from the others
+            v = list(w)
+            for _ in range(n // 25):
+                v[rng.randrange(n)] = prose(rng, 1)
+            texts.append(" ".join(v))
+    docs = documents(spark, list(enumerate(texts)))
+    classes, links = brute(docs)
+    degree = counts(links)
+    assert len(links) >= 200
+    for group in (D.GROUP, 5):  # whole, and cut into parts
+        monkeypatch.setattr(D, "GROUP", group)
+        got = rows(D.similar_documents(docs))
+        assert {(i, c) for i, c, _ in got} == classes and {i: n for i, _, n in got} == {i: degree[t] for i, t in enumerate(texts) if degree[t]}
+
+
+def test_links_of_little_in_common(spark):
+    rng, passage = random.Random(20), prose(random.Random(21), 22)
+    texts = [f"{prose(rng, rng.choice([40, 50, 60]))} {passage}" for _ in range(150)] + [f"{prose(rng, 1050)} {passage}" for _ in range(60)]
+    docs = documents(spark, list(enumerate(texts)))
+    classes, links = brute(docs)
+    rank = D.rank_table(docs)
+    f = {t: set(D.select(t.encode(), rank)) for t in texts}
+    little = [(s, t) for s, t in links if len(f[s] & f[t]) < D.SLACK * D.MIN_SCORE / 100 * min(len(f[s]), len(f[t]))]
+    assert little  # the bits of other features meet, too
+    got = rows(D.similar_documents(docs))
+    assert {(i, c) for i, c, _ in got} == classes and {i: n for i, _, n in got} == {i: counts(links)[t] for i, t in enumerate(texts) if counts(links)[t]}
