@@ -143,22 +143,33 @@ def _close(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1) <= limit
 
 
-def _star(node: np.ndarray, words: np.ndarray, size: np.ndarray | None, limit: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is close among the rows of one bucket, all pairs compared; ``size`` sets no limit."""
-    block = max(1, min(block, (1 << 22) // max(1, len(node))))
-    label, left, right = np.arange(len(node)), [], []
-    for at in range(0, len(node), block):
-        d = np.zeros((min(block, len(node) - at), len(node)), np.uint16)
-        for k in range(words.shape[1]):
-            d += np.bitwise_count(words[at : at + block, None, k] ^ words[None, :, k])
-        i, j = np.nonzero(d <= limit)
-        i += at
-        keep = j < i
-        left.append(i[keep])
-        right.append(j[keep])
-        if sum(map(len, left)) > 2_000_000:
-            label = _spread(label, np.concatenate(left), np.concatenate(right))
-            left, right = [np.arange(len(node))], [label]
+def _star(node: np.ndarray, words: np.ndarray, size: np.ndarray | None, limit: int, block: tuple[int, int] = (64, 4096)) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is close among the rows of one bucket, all pairs compared once; ``size`` sets no limit."""
+    high, wide = min(block[0], len(node)), min(block[1], len(node))
+    x, a, b = (np.empty(high * wide, t) for t in (np.uint64, np.uint8, np.uint8))
+    first, second, third = np.ascontiguousarray(words.T).view(np.uint64)
+    label, left, right, held = np.arange(len(node)), [], [], 0
+    for u in range(0, len(node), high):
+        v = min(u + high, len(node))
+        for s in range(0, v, wide):
+            t = min(s + wide, v)
+            shape = (v - u, t - s)
+            xs, near, more = (z[: shape[0] * shape[1]].reshape(shape) for z in (x, a, b))
+            np.bitwise_count(np.bitwise_xor(first[u:v, None], first[None, s:t], out=xs), out=near)
+            np.bitwise_count(np.bitwise_xor(second[u:v, None], second[None, s:t], out=xs), out=more)
+            near += more  # 128 bits; few pairs need the rest
+            if t <= u and near.min() > limit:
+                continue
+            i, j = np.divmod(np.flatnonzero(near.ravel() <= limit), t - s)
+            keep = j + s < i + u
+            i, j = i[keep], j[keep]
+            keep = near[i, j] + np.bitwise_count(third[i + u] ^ third[j + s]) <= limit
+            left.append(i[keep] + u)
+            right.append(j[keep] + s)
+            held += len(left[-1])
+            if held > 2_000_000:
+                label = _spread(label, np.concatenate(left), np.concatenate(right))
+                left, right, held = [np.arange(len(node))], [label], 0
     label = _spread(label, np.concatenate(left), np.concatenate(right))
     moved = label != np.arange(len(node))
     return node[moved], node[label[moved]]
@@ -184,19 +195,20 @@ def _verify_batches(limit: int):
     """Reads rows sorted by key, compares all within a key, emits links between close rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        rest: list[list[np.ndarray]] = []  # of one key, which may go over many batches
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if not len(cols[0]):
                 continue
             last = int(np.searchsorted(cols[0], cols[0][-1]))
-            rest = [c[last:].copy() for c in cols]
-            if last:
+            if rest and (last or rest[0][0][0] != cols[0][0]):
+                yield from work([np.concatenate(x) for x in zip(*rest, [c[:last] for c in cols], strict=True)])
+                rest = []
+            elif last:
                 yield from work([c[:last] for c in cols])
-        if rest is not None:
-            yield from work(rest)
+            rest.append([c[last:].copy() for c in cols])
+        if rest:
+            yield from work([np.concatenate(x) for x in zip(*rest, strict=True)])
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, node, f0, f1, f2 = cols

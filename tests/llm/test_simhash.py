@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from symgrid.llm import simhash as S
@@ -126,3 +127,36 @@ def test_numbers_and_short_words_count():
     f, _ = S.fingerprints(["the cat sat on it 12 34 long words here", "the cat sat on it 12 99 long words here", "a dog ran by me 12 34 long words here"])
     d = lambda i, j: int(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).sum())
     assert 0 < d(0, 1) < d(0, 2)
+
+
+def test_pairs_of_a_bucket_are_compared_once(monkeypatch):
+    rng, seen, count = np.random.default_rng(6), [], np.bitwise_count
+    n = 9000
+    words = rng.integers(0, 2**63, (n, 3)).astype(np.uint64)
+    words[n // 2 :] = words[: n // 2] ^ np.array([5, 1 << 60, 3], np.uint64)  # five bits, in all words
+    want = {(i, i + n // 2) for i in range(n // 2)}
+
+    def counted(x, *args, **kw):
+        seen.append(np.size(x))
+        return count(x, *args, **kw)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    a, b = S._star(np.arange(n), words, None, 5)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == want
+    assert not len(S._star(np.arange(n), words, None, 4)[0])
+    assert sum(seen) <= 2 * 2.1 * n * (n - 1) / 2  # two words of a pair, once, for each of the two calls
+
+
+def test_keys_over_many_batches():
+    rng = np.random.default_rng(7)
+    key = np.sort(np.concatenate([np.full(90, 1), np.full(3, 2), np.full(40, 5), rng.integers(6, 30, 60)])).astype(np.int32)
+    words = rng.integers(0, 2**63, (len(key), 3))
+    words[1::2] = words[0:-1:2] ^ 9
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key))), *(pa.array(words[:, k]) for k in range(3))], ["key", "node", "f0", "f1", "f2"])
+
+    def links(size):
+        parts = [whole.slice(at, size) for at in range(0, len(key), size)]
+        return {p for b in S._verify_batches(6)(iter([whole.slice(0, 0), *parts])) for p in zip(*(c.to_pylist() for c in b.columns))}
+
+    want = links(len(key))
+    assert len(want) > 60 and all(links(size) == want for size in (1, 3, 10, 45, 90, 93))
