@@ -71,4 +71,6 @@ def test_a_common_word_costs_its_imports_and_its_files(spark, monkeypatch):
 
     monkeypatch.setattr(C, "cut", counted)
     assert {(r["src"], r["dst"]) for r in C.call_edges(m).collect()} == {(100 * f, 100 * ((f + 1) % n)) for f in range(n)}
+    # the names themselves are by pairs of files, and are not written by pairs
+    assert C.imported_names(m).count() == n * (n - 1)
     assert most[0] <= 4 * n
